@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pairlight.cluster import table
-from pairlight.llm import encode, splits
+from pairlight.llm import encode, overlap, splits
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.found_pairs(table(spark, folder, "samples"))
+
+
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.overlap_report(table(spark, folder, "samples"))
+
+
+def p3_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.span_coverage(table(spark, folder, "samples"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,6 +37,7 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found, "p3_report": p3_report, "p3_coverage": p3_coverage,
     "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares,
     "p6_ids": p6_ids,
 }
