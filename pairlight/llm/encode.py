@@ -18,7 +18,9 @@ import json
 import os
 from collections.abc import Iterator
 
+import pandas as pd
 import regex
+from pyspark.sql.functions import pandas_udf
 
 #: Folder of the public tokenizer files, unless a caller names another.
 TOKENIZER_DIR = os.environ.get("PAIRLIGHT_TOKENIZERS", "/opt/tokenizers")
@@ -212,9 +214,6 @@ def encoder(path: str | None = None) -> Encoder:
 
 def encode_column(path: str | None = None):
     """Arrow function of a text column to its list of token ids."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         e = encoder(path)
@@ -226,9 +225,6 @@ def encode_column(path: str | None = None):
 
 def count_column(path: str | None = None):
     """Arrow function of a text column to its number of tokens (null: 0)."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("bigint")
     def n(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         e = encoder(path)
