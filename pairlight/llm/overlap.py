@@ -52,7 +52,7 @@ LONG_WORDS = 200
 
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
 _WORD = regex.compile(r"[\p{L}\p{N}\p{Mc}]+")
-_UNSEEN = regex.compile(r"[\p{Cf}\p{Cc}\p{Mn}\p{Me}ᅟᅠㅤﾠ--\s]", regex.V1)
+_UNSEEN = regex.compile(r"[\p{Cf}\p{Cc}\p{Mn}\p{Me}\u115f\u1160\u3164\uffa0--\s]", regex.V1)
 
 
 def words_of(text: str | None) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pairlight.cluster import table
-from pairlight.llm import encode, overlap, splits
+from pairlight.llm import encode, overlap, sentences, splits
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,9 +36,14 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode_documents(table(spark, folder, "documents"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "p3_found": p3_found, "p3_report": p3_report, "p3_coverage": p3_coverage,
     "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares,
     "p6_ids": p6_ids,
+    "p8_found": p8_found,
 }
 SQL: dict[str, str] = {}
