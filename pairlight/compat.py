@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space as Python's ``str.strip`` sees it, as a Java character class body.
 #: Unicode White_Space plus the four information separators.
-SPACE = r"\s\x0b\x1c-\x1f\x85\xa0  -     　"
+SPACE = r"\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 NAN = float("nan")
 
