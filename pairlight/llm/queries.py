@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pairlight.cluster import table
-from pairlight.llm import encode, overlap, sentences, splits
+from pairlight.llm import encode, mixture, overlap, sentences, splits
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,6 +36,14 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode_documents(table(spark, folder, "documents"))
 
 
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.mixture_shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_units(table(spark, folder, "documents"))
 
@@ -44,6 +52,7 @@ QUERIES = {
     "p3_found": p3_found, "p3_report": p3_report, "p3_coverage": p3_coverage,
     "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares,
     "p6_ids": p6_ids,
+    "p7_mixture": p7_mixture, "p7_shares": p7_shares,
     "p8_found": p8_found,
 }
 SQL: dict[str, str] = {}
