@@ -7,8 +7,9 @@ texts of one source exchange mass, so that the tokens in expectation stay the
 same, until one of them is 0 or 1. Each partition does this in one pass with one
 open text a source; the open texts of all partitions go through a reduction
 tree. At the end of each source one text at most is decided by its probability
-alone. Large texts are rounded first and the small ones make up what that left
-over, so a source misses its share by less than one small text.
+alone. Texts are rounded in classes of size, the largest first, and each class
+makes up what the larger ones missed, so a source misses its share by less than
+one text of twice its mean size.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from pairlight.llm.encode import count_column
 FAN_IN = 16
 #: Target tables have at most so many rows; more raise ValueError.
 MAX_SOURCES = 10_000
-#: A text is large if it has more than this part of its source's wanted tokens.
-LARGE_PART = 0.0005
+#: Size classes, in mean sizes of the source, largest first.
+CLASSES = ((8.0, float("inf")), (2.0, 8.0), (0.0, 2.0))
 _EDGE = 1e-9
 
 
@@ -122,6 +123,13 @@ def _round(seed: str):
     return run
 
 
+def _size_class(ratio: Column) -> Column:
+    c = F.lit(len(CLASSES) - 1)
+    for k, (low, _) in reversed(list(enumerate(CLASSES[:-1]))):
+        c = F.when(ratio > low, F.lit(k)).otherwise(c)
+    return c
+
+
 def _start(texts: DataFrame, factor: dict[str, float]) -> DataFrame:
     """Whole copies and probability of one more, from the sources' factors."""
     known = F.broadcast(texts.sparkSession.createDataFrame([(s, float(f)) for s, f in sorted(factor.items())], "source string, factor double"))
@@ -170,19 +178,26 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None
     shares = {s: w / whole for s, w in shares.items()}
     spark = documents.sparkSession
     texts = cut(sized_texts(documents, tokenizer).join(F.broadcast(spark.createDataFrame([(s,) for s in sorted(shares)], "source string")), "source", "left_semi"))
-    sizes = {s: n for s, n in texts.groupBy("source").agg(F.sum("n_tokens")).collect()}
+    means = texts.groupBy("source").agg(F.avg("n_tokens").alias("mean"))
+    texts = texts.join(F.broadcast(means), "source").withColumn("class", _size_class(F.col("n_tokens") / F.col("mean")))
+    by_class: dict[tuple[str, int], int] = {(s, k): n for s, k, n in texts.groupBy("source", "class").agg(F.sum("n_tokens")).collect()}
+    sizes: dict[str, int] = {}
+    for (s, _), n in by_class.items():
+        sizes[s] = sizes.get(s, 0) + n
     _, factor = plan(sizes, shares, caps, total_tokens)
-    wanted = {s: f * sizes.get(s, 0) for s, f in factor.items()}
-    limits = F.broadcast(spark.createDataFrame([(s, LARGE_PART * w) for s, w in sorted(wanted.items())], "source string, limit double"))
-    texts = texts.join(limits, "source")
-    large = cut(_settle(_start(texts.where(F.col("n_tokens") > F.col("limit")), factor), seed))
-    got = {s: (n, size) for s, n, size in large.groupBy("source").agg(F.sum((F.col("base") + F.col("p")) * F.col("n_tokens")), F.sum("n_tokens")).collect()}
-    rest = {}
-    for s in factor:
-        n, size = got.get(s, (0.0, 0))
-        small = sizes.get(s, 0) - size
-        rest[s] = min(max((wanted[s] - n) / small, 0.0), float(caps[s])) if small > 0 else 0.0
-    out = large.unionByName(_settle(_start(texts.where(F.col("n_tokens") <= F.col("limit")), rest), seed))
+    missing = {s: f * sizes.get(s, 0) for s, f in factor.items()}
+    left = dict(sizes)
+    done = []
+    for k in range(len(CLASSES)):
+        use = {s: min(max(missing[s] / left[s], 0.0), float(caps[s])) if left.get(s, 0) > 0 else 0.0 for s in factor}
+        rounded = cut(_settle(_start(texts.where(F.col("class") == k), use), seed))
+        done.append(rounded)
+        for s, n in rounded.groupBy("source").agg(F.sum((F.col("base") + F.col("p")) * F.col("n_tokens"))).collect():
+            missing[s] -= n
+            left[s] -= by_class[s, k]
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
     return out.select("doc_id", "source", "n_tokens", (F.col("base") + F.col("p")).cast("bigint").alias("copies")).where("copies > 0")
 
 
