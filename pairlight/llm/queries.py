@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pairlight.cluster import table
-from pairlight.llm import encode, mixture, overlap, sentences, splits
+from pairlight.llm import defects, encode, mixture, overlap, sentences, splits
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,6 +32,18 @@ def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
     return splits.split_shares(table(spark, folder, "samples"), table(spark, folder, "split_targets"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return defects.defective_pairs(table(spark, folder, "predictions"))
+
+
+def p5_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return defects.labelled_pairs(table(spark, folder, "predictions"))
+
+
+def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return defects.defect_rates(table(spark, folder, "predictions"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode_documents(table(spark, folder, "documents"))
 
@@ -51,6 +63,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found, "p3_report": p3_report, "p3_coverage": p3_coverage,
     "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares,
+    "p5_found": p5_found, "p5_labels": p5_labels, "p5_rates": p5_rates,
     "p6_ids": p6_ids,
     "p7_mixture": p7_mixture, "p7_shares": p7_shares,
     "p8_found": p8_found,
