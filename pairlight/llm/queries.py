@@ -5,7 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pairlight.cluster import table
-from pairlight.llm import defects, encode, mixture, overlap, sentences, splits
+from pairlight.llm import defects, encode, harm, mixture, overlap, sentences, splits
+
+
+def _reviewed(spark: SparkSession, folder: str) -> list[DataFrame]:
+    return [table(spark, folder, t) for t in ("samples", "predictions", "documents", "harm_labels")]
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return harm.abusive_texts(*_reviewed(spark, folder))
+
+
+def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return harm.score_fields(*_reviewed(spark, folder))
+
+
+def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return harm.abuse_rates(*_reviewed(spark, folder))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,6 +77,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found, "p2_scores": p2_scores, "p2_rates": p2_rates,
     "p3_found": p3_found, "p3_report": p3_report, "p3_coverage": p3_coverage,
     "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares,
     "p5_found": p5_found, "p5_labels": p5_labels, "p5_rates": p5_rates,
