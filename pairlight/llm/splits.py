@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlight.cluster import cut
-from pairlight.compat import squeeze
+from pairlight.compat import SPACE
 
 #: Values that name nobody (fixed values; compared in lower case).
 PLACEHOLDERS = ("", "unknown", "anonymous", "n/a", "-")
@@ -26,31 +26,31 @@ MAX_ROUNDS = 60
 
 
 def _value(raw: Column) -> Column:
-    v = F.lower(squeeze(raw))
+    v = F.lower(F.trim(F.regexp_replace(raw, rf"[{SPACE}]+", " ")))
     return F.when(~v.isin(*PLACEHOLDERS), v)
 
 
+_META = "author string, annotator string, entity string, entities array<string>, filename string, scenario_id string, benchmark_id string"
+
+
 def relation_keys(meta: Column) -> Column:
     """Array of the distinct keys through which a record is related to others.
 
-    A key is md5 bytes of its kind and value. Null or broken JSON gives none.
+    A key is md5 bytes of its kind and value. Null or broken JSON gives none. The
+    object is parsed once; an author object keeps its JSON text, whose id counts.
     """
-    get = lambda path: F.get_json_object(meta, path)
-    author = get("$.author")
-    writer = F.when(author.startswith("{"), get("$.author.id")).otherwise(author)
-    many = F.from_json(get("$.entities"), "array<string>")
-    bench, scenario = _value(get("$.benchmark_id")), _value(get("$.scenario_id"))
-    one = lambda kind, v: F.when(v.isNotNull(), F.concat(F.lit(kind), v))
+    m = F.from_json(meta, _META)
+    author = m["author"]
+    nested = author.startswith("{")
+    writer = F.when(nested, F.get_json_object(author, "$.id")).otherwise(author)
+    bench, scenario = _value(m["benchmark_id"]), _value(m["scenario_id"])
+    one = lambda kind, v: F.concat(F.lit(kind), v)
     keys = F.concat(
         F.array(
-            one("w:", _value(writer)),
-            one("w:", _value(get("$.annotator"))),
-            one("w:", F.when(author.startswith("{"), F.lit(None)).otherwise(_value(get("$.author.id")))),
-            one("e:", _value(get("$.entity"))),
-            one("f:", _value(get("$.filename"))),
-            F.when(bench.isNotNull() & scenario.isNotNull(), F.concat(F.lit("s:"), F.length(bench).cast("string"), F.lit(":"), bench, scenario)),
+            one("w:", _value(writer)), one("w:", _value(m["annotator"])), one("e:", _value(m["entity"])), one("f:", _value(m["filename"])),
+            F.concat(F.lit("s:"), F.length(bench).cast("string"), F.lit(":"), bench, scenario),
         ),
-        F.transform(F.coalesce(many, F.array().cast("array<string>")), lambda x: one("e:", _value(x))),
+        F.transform(F.coalesce(m["entities"], F.array().cast("array<string>")), lambda x: one("e:", _value(x))),
     )
     return F.transform(F.array_distinct(F.array_compact(keys)), lambda k: F.unhex(F.md5(k)))
 
@@ -98,7 +98,7 @@ def record_components(samples: DataFrame) -> DataFrame:
     are: repeated sample ids stay repeated, null ids form one-record components
     of their own only if nothing relates them.
     """
-    keyed = samples.select("sample_id", "split", relation_keys(F.col("meta")).alias("keys"))
+    keyed = cut(samples.select("sample_id", "split", relation_keys(F.col("meta")).alias("keys")))
     several = keyed.where(F.size("keys") > 1).select("keys")
     edges = several.select(F.element_at("keys", 1).alias("a"), F.explode(F.slice("keys", 2, 1_000_000)).alias("b")).distinct()
     linked = components(edges)
