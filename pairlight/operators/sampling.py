@@ -93,7 +93,7 @@ REPEATS = {"mild": 1, "moderate": 2, "severe": 3, "extreme": 4}
 
 
 def parse_repeats(text: str | None) -> dict[str, int]:
-    """'mild=1,severe=3' as a mapping; broken parts are skipped, values are at least 1."""
+    """'mild=1,severe=3' as a mapping; parts without = or number are skipped, values are at least 1."""
     out = {}
     for part in (text or "").split(","):
         name, eq, n = part.partition("=")

@@ -22,7 +22,7 @@ def summary(values: DataFrame, by: list[str], value: str = "value", approximate:
     instead of all different values of a group, for groups too large for that.
     """
     v = F.col(value)
-    q = F.percentile_approx(v, [F.lit(x) for x in QUANTILES], 10000) if approximate else F.percentile(v, F.array(*[F.lit(x) for x in QUANTILES]))
+    q = F.percentile_approx(v, list(QUANTILES), 10000) if approximate else F.percentile(v, F.array(*[F.lit(x) for x in QUANTILES]))
     out = values.where(is_number(v)).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stdev"), F.min(v).alias("min"), F.max(v).alias("max"), q.alias("q")
     )
@@ -38,7 +38,7 @@ def normal_tail(z: Column | str) -> Column:
         for b in batches:
             yield b.map(lambda x: math.erfc(abs(x) / math.sqrt(2.0)) if x is not None and x == x else float("nan")).astype("float64")
 
-    return tail(z)
+    return F.coalesce(tail(z), F.lit(NAN))
 
 
 def rank_test(scores: DataFrame, by: list[str], value: str = "score", side: str = "side", first: str = "B", second: str = "A") -> DataFrame:
