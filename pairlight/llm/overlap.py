@@ -222,7 +222,9 @@ HIT = "kind int, train boolean, t1 bigint, t2 bigint, e1 bigint, e2 bigint, pos
 def close(n_a, n_b, s1_a, s1_b, s2_a, s2_b):
     """What any pair within the allowed edits fulfils: lengths and sketches."""
     k = np.maximum(n_a, n_b) // WORDS_AN_EDIT
-    return (np.abs(n_a - n_b) <= k) & (np.bitwise_count(s1_a ^ s1_b).astype(int) + np.bitwise_count(s2_a ^ s2_b) <= 2 * k)
+    # counted as unsigned: of a negative number numpy counts the bits of its magnitude
+    bits = lambda x, y: np.bitwise_count(np.asarray(x ^ y).astype(np.uint64)).astype(int)
+    return (np.abs(n_a - n_b) <= k) & (bits(s1_a, s1_b) + bits(s2_a, s2_b) <= 2 * k)
 
 
 def _hits(buf: dict[str, np.ndarray], spans: bool) -> Iterator[pa.RecordBatch]:
