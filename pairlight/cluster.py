@@ -43,6 +43,17 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit_bytes: int = 8 << 20
     return F.broadcast(df) if df.count() * row_bytes <= limit_bytes else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as the cluster runs tasks at once.
+
+    For a plain scan that goes through Python: a small file of one row group is
+    one partition, and all other cores would idle. Input of more partitions, as
+    any large table is, stays as it is and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

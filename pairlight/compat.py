@@ -40,6 +40,16 @@ def div_zero(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a column that is computed once.
+
+    A column that an expression names several times is computed as often, and
+    inside a lambda for each element. As the element of a one-element array it
+    is a variable.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def is_number(c: Column) -> Column:
     """True for a value that is neither null nor NaN."""
     return c.isNotNull() & ~F.isnan(c)

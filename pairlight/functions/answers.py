@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairlight.compat import py_strip
+from pairlight.compat import let, py_strip
 
 # The answer format.
 CONCLUSION = r"(?is)Conclusion\s*:\s*(YES|NO)\b"
@@ -25,19 +25,21 @@ def parsed(text: Column | str) -> Column:
     before the first conclusion line, or else before that label. Null and blank
     are empty_output, text without conclusion is all analysis.
     """
-    raw = F.coalesce(py_strip(text), F.lit(""))
-    has = raw.rlike(CONCLUSION)
-    at = F.regexp_instr(raw, F.lit(CONCLUSION))
-    analysis = py_strip(
-        F.when(~has, raw).when(raw.rlike(BEFORE_LINE), F.regexp_extract(raw, BEFORE_LINE, 1)).otherwise(F.substring(raw, F.lit(1), at - 1))
-    )
-    issues = (
-        F.when(raw == "", F.array(F.lit("empty_output"))).when(~has, F.array(F.lit("missing_conclusion_line")))
-        .when(analysis == "", F.array(F.lit("empty_analysis"))).otherwise(F.array().cast("array<string>"))
-    )
-    return F.struct(
-        F.when(has, F.upper(F.regexp_extract(raw, CONCLUSION, 1))).alias("label"), analysis.alias("analysis"), has.alias("parse_ok"), issues.alias("issues")
-    )
+    def split(raw: Column) -> Column:
+        has = raw.rlike(CONCLUSION)
+        at = F.regexp_instr(raw, F.lit(CONCLUSION))
+        before = F.when(~has, raw).when(raw.rlike(BEFORE_LINE), F.regexp_extract(raw, BEFORE_LINE, 1)).otherwise(F.substring(raw, F.lit(1), at - 1))
+        return F.struct(raw.alias("raw"), has.alias("has"), py_strip(before).alias("analysis"))
+
+    def named(x: Column) -> Column:
+        issues = (
+            F.when(x["raw"] == "", F.array(F.lit("empty_output"))).when(~x["has"], F.array(F.lit("missing_conclusion_line")))
+            .when(x["analysis"] == "", F.array(F.lit("empty_analysis"))).otherwise(F.array().cast("array<string>"))
+        )
+        label = F.when(x["has"], F.upper(F.regexp_extract(x["raw"], CONCLUSION, 1)))
+        return F.struct(label.alias("label"), x["analysis"].alias("analysis"), x["has"].alias("parse_ok"), issues.alias("issues"))
+
+    return let(let(F.coalesce(py_strip(text), F.lit("")), split), named)
 
 
 def conclusion(text: Column | str) -> Column:
@@ -89,25 +91,33 @@ def until_stop(text: Column | str, stops: list[str]) -> Column:
 
 def quotes_prompt(prompt: Column | str, analysis: Column | str, min_chars: int = 40) -> Column:
     """Whether the analysis holds one of the prompt's windows of ``min_chars`` characters."""
-    strip = lambda c: F.coalesce(py_strip(c), F.lit(""))
-    norm = lambda c: F.regexp_replace(strip(c), r"(?U)\s+", " ")
-    p, a = norm(prompt), norm(analysis)
     step = max(10, min_chars // 2)
-    starts = F.sequence(F.lit(1), F.length(p) - min_chars + 1, F.lit(step))
-    long = (F.length(strip(prompt)) >= min_chars) & (F.length(strip(analysis)) >= min_chars) & (F.length(p) >= min_chars)
-    return F.when(long, F.exists(starts, lambda i: F.contains(a, F.substring(p, i, F.lit(min_chars))))).otherwise(F.lit(False))
+    norm = lambda c: F.regexp_replace(c, r"(?U)\s+", " ")
+    strip = lambda c: F.coalesce(py_strip(c), F.lit(""))
+
+    def seek(x: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(x["p"]) - min_chars + 1, F.lit(step))
+        return F.when(F.length(x["p"]) >= min_chars, F.exists(starts, lambda i: F.contains(x["a"], F.substring(x["p"], i, F.lit(min_chars))))).otherwise(F.lit(False))
+
+    def long(x: Column) -> Column:
+        both = (F.length(x["p"]) >= min_chars) & (F.length(x["a"]) >= min_chars)
+        return F.when(both, let(F.struct(norm(x["p"]).alias("p"), norm(x["a"]).alias("a")), seek)).otherwise(F.lit(False))
+
+    return let(F.struct(strip(prompt).alias("p"), strip(analysis).alias("a")), long)
 
 
 def violations(raw: Column | str, gold: Column | str, prompt: Column | str, low: int = 2, high: int = 4, min_chars: int = 40) -> Column:
     """What is wrong with an answer: parse issues, conclusion, number of sentences, quoting."""
-    p = parsed(raw)
-    n = sentence_count(p["analysis"])
-    own = F.array_compact(F.array(
-        F.when(p["label"].isNull(), F.lit("missing_conclusion")).when(~p["label"].eqNullSafe(_c(gold)), F.lit("wrong_conclusion")),
-        F.when((n < low) | (n > high), F.concat(F.lit("sentence_count_out_of_range:"), n.cast("string"))),
-        F.when(quotes_prompt(prompt, p["analysis"], min_chars), F.lit("analysis_quotes_prompt")),
-    ))
-    return F.concat(F.when(p["parse_ok"], F.array().cast("array<string>")).otherwise(p["issues"]), own)
+    def checked(x: Column) -> Column:
+        p, n = x["p"], x["n"]
+        own = F.array_compact(F.array(
+            F.when(p["label"].isNull(), F.lit("missing_conclusion")).when(~p["label"].eqNullSafe(_c(gold)), F.lit("wrong_conclusion")),
+            F.when((n < low) | (n > high), F.concat(F.lit("sentence_count_out_of_range:"), n.cast("string"))),
+            F.when(quotes_prompt(prompt, p["analysis"], min_chars), F.lit("analysis_quotes_prompt")),
+        ))
+        return F.concat(F.when(p["parse_ok"], F.array().cast("array<string>")).otherwise(p["issues"]), own)
+
+    return let(let(parsed(raw), lambda p: F.struct(p.alias("p"), sentence_count(p["analysis"]).alias("n"))), checked)
 
 
 def text_key(text: Column | str) -> Column:

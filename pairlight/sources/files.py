@@ -51,6 +51,41 @@ def newest(spark: SparkSession, path: str, pattern: str) -> str | None:
     return row[0][0] if row else None
 
 
+#: Extensions of source files, preferred first.
+PREFERRED = (".parquet", ".jsonl", ".json", ".csv", ".tsv")
+
+
+def inventory_paths(inventory: str, root: str = ".") -> dict[str, str]:
+    """Base name to path of the files an inventory lists ({"files": [{"metadata": {"relative_path": ...}}]}).
+
+    Of several files of one name the preferred extension counts, then the first path.
+    """
+    listed = json.loads(Path(inventory).read_text(encoding="utf-8")).get("files", [])
+    paths = [Path(f["metadata"]["relative_path"]) for f in listed if isinstance(f, dict) and (f.get("metadata") or {}).get("relative_path")]
+    order = {e: i for i, e in enumerate(PREFERRED)}
+    out: dict[str, str] = {}
+    for p in sorted(paths, key=lambda p: (order.get(p.suffix.lower(), len(order)), str(p))):
+        out.setdefault(p.stem, str(Path(root, p)))
+    return out
+
+
+def first_existing(*candidates: str | None) -> str | None:
+    """The first candidate path that exists; repeated and empty ones are skipped."""
+    return next((c for c in dict.fromkeys(candidates) if c and Path(c).exists()), None)
+
+
+def predictions(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Single or paired prediction files as wide pairs or single rows, told apart by their content.
+
+    If any record is paired, the others are dropped.
+    """
+    from pairlight.operators.pairing import flat
+    from pairlight.schema import PAIRED, PREDICTION
+
+    paired = jsonl(spark, path, PAIRED)
+    return flat(paired) if is_paired(paired) else jsonl(spark, path, PREDICTION)
+
+
 def is_paired(df: DataFrame) -> bool:
     """Whether any record has both sides; then rows without them are to be dropped."""
     return "paired" in df.columns and not df.where("paired is not null").isEmpty()

@@ -30,7 +30,7 @@ def test_broken_json_raises_only_if_strict(spark, tmp_path):
 def test_jsonl_round_trip_keeps_nulls(spark, tmp_path):
     df = spark.createDataFrame([("a", None, "p", None, "test", '{"x":1}')], SAMPLE)
     files.write_jsonl(df, str(tmp_path / "out"))
-    text = next((tmp_path / "out").glob("part-*.json")).read_text()
+    text = "".join(f.read_text() for f in (tmp_path / "out").glob("part-*.json"))
     assert json.loads(text)["source"] is None
     assert files.jsonl(spark, str(tmp_path / "out"), SAMPLE).drop("_file", "_ord").collect() == df.collect()
 
@@ -67,6 +67,17 @@ def test_files_and_exports(spark, tmp_path):
     assert json.loads((tmp_path / "r.json").read_text()) == {"a": [1, 2], "b": None}
 
 
+def test_inventory_and_layouts(spark, tmp_path):
+    listed = [{"metadata": {"relative_path": x}} for x in ("a/D1.csv", "b/D1.jsonl", "N2.json")] + [{"metadata": None}, 3]
+    inv = write(tmp_path / "inv.json", json.dumps({"files": listed}))
+    assert files.inventory_paths(inv, "/r") == {"D1": "/r/b/D1.jsonl", "N2": "/r/N2.json"}
+    assert files.first_existing(None, "/no/such", inv, inv) == inv and files.first_existing("") is None
+    single = write(tmp_path / "single.jsonl", '{"sample_id":"s","model_id":"m","raw_text":"x"}\n')
+    both = write(tmp_path / "pair.jsonl", '{"sample_id":"s","paired":{"A":{"parsed_conclusion":"YES","parse_ok":true},"B":{"parsed_conclusion":"NO","parse_ok":true}}}\n{"sample_id":"t"}\n')
+    assert files.predictions(spark, single).first()["raw_text"] == "x"
+    assert [(r["key"], r["a_pred"], r["b_pred"]) for r in files.predictions(spark, both).collect()] == [("s|policy_unknown", "YES", "NO")]
+
+
 def test_latex_orders_and_fills(spark):
     df = spark.createDataFrame([("BOLD", 0.5, None), ("N1", 0.25, float("nan")), ("D2", 1.0, 0.1)], "source string, m_acc double, m_f1 double")
     lines = files.latex_matrix(df, ["m"], ["acc", "f1"]).splitlines()
