@@ -22,6 +22,8 @@ import pandas as pd
 import regex
 from pyspark.sql.functions import pandas_udf
 
+from pairlight.cluster import spread
+
 #: Folder of the public tokenizer files, unless a caller names another.
 TOKENIZER_DIR = os.environ.get("PAIRLIGHT_TOKENIZERS", "/opt/tokenizers")
 
@@ -240,4 +242,4 @@ def encode_documents(documents, path: str | None = None):
     White space is encoded as it stands. Other columns are neither read nor
     kept. One row comes out for each row that went in, repeated ids included.
     """
-    return documents.select("doc_id", encode_column(path)("text").alias("ids"))
+    return spread(documents.select("doc_id", "text")).select("doc_id", encode_column(path)("text").alias("ids"))

@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlight.cluster import broadcast_if_small, cut
+from pairlight.cluster import broadcast_if_small, cut, spread
 
 #: One word edit is allowed in so many words of the longer text.
 WORDS_AN_EDIT = 8
@@ -122,7 +122,7 @@ def records(samples: DataFrame) -> DataFrame:
     words = words.asNondeterministic()
     side = F.when(F.col("split") == "train", F.lit(True)).when(F.col("split").isin("val", "test"), F.lit(False))
     return (
-        samples.select("sample_id", "source", "split", side.alias("train"), F.col("prompt"))
+        spread(samples.select("sample_id", "source", "split", side.alias("train"), F.col("prompt")))
         .where(F.col("train").isNotNull())
         .select("sample_id", "source", "split", "train", words("prompt").alias("words"))
         .where(F.col("words") != "")
