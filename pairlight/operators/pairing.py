@@ -28,9 +28,20 @@ def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min_by(row, F.struct(*order)).alias("r")).select("r.*")
 
 
-def run(predictions: DataFrame, model_id: str, order: Sequence[str] = ("received_at", "delivery_id")) -> DataFrame:
-    """One model's predictions with ``key``, the last row of each key."""
-    own = predictions.where(F.col("model_id") == model_id).withColumn("key", record_key("sample_id", "policy_id"))
+_SHARED = ("sample_id", "policy_id", "prompt", "gold_label", "source", "split", "meta")
+_SIDE = ("model_id", "base_model", "adapter_path", "raw_text", "parsed_analysis", "parsed_conclusion", "parse_ok", "parse_issues")
+#: Columns that only texts need; metrics do without.
+_TEXTS = ("prompt", "meta", "raw_text", "parsed_analysis", "base_model", "adapter_path", "parse_issues")
+
+
+def run(predictions: DataFrame, model_id: str, order: Sequence[str] = ("received_at", "delivery_id"), texts: bool = True) -> DataFrame:
+    """One model's predictions with ``key``, the last row of each key.
+
+    Only columns that pairs have are read and shuffled; without ``texts`` the
+    long ones stay in the file.
+    """
+    wanted = [c for c in (*_SHARED, *_SIDE) if c in predictions.columns and (texts or c not in _TEXTS)]
+    own = predictions.where(F.col("model_id") == model_id).select(*wanted, *order).withColumn("key", record_key("sample_id", "policy_id"))
     return last_wins(own, ["key"], order)
 
 
@@ -41,17 +52,13 @@ def pair_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     count unless empty; source, split and meta are A's. Keys of one run only are
     left out.
     """
-    side = ("model_id", "base_model", "adapter_path", "raw_text", "parsed_analysis", "parsed_conclusion", "parse_ok", "parse_issues")
-    shared = ("sample_id", "policy_id", "prompt", "gold_label", "source", "split", "meta")
-    left = a.select("key", *shared, *[F.col(c).alias(f"a_{c}") for c in side])
-    right = b.select("key", F.col("gold_label").alias("__gold"), F.col("prompt").alias("__prompt"), *[F.col(c).alias(f"b_{c}") for c in side])
-    full = lambda x, y: F.coalesce(F.nullif(F.col(x), F.lit("")), F.col(y))
-    return (
-        left.join(right, "key")
-        .withColumns({"prompt": full("prompt", "__prompt"), "gold": label(full("gold_label", "__gold")), "policy": policy("policy_id"), "grp": group("source")})
-        .withColumns({"a_pred": prediction("a_parsed_conclusion", "a_parse_ok"), "b_pred": prediction("b_parsed_conclusion", "b_parse_ok")})
-        .drop("__gold", "__prompt")
-    )
+    side = [c for c in _SIDE if c in a.columns and c in b.columns]
+    both = [c for c in ("prompt", "gold_label") if c in a.columns and c in b.columns]
+    left = a.select("key", *[c for c in _SHARED if c in a.columns], *[F.col(c).alias(f"a_{c}") for c in side])
+    right = b.select("key", *[F.col(c).alias(f"__{c}") for c in both], *[F.col(c).alias(f"b_{c}") for c in side])
+    full = {c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"__{c}")) for c in both}
+    out = left.join(right, "key").withColumns({**({"prompt": full["prompt"]} if "prompt" in full else {}), "gold": label(full["gold_label"]), "policy": policy("policy_id"), "grp": group("source")})
+    return out.withColumns({"a_pred": prediction("a_parsed_conclusion", "a_parse_ok"), "b_pred": prediction("b_parsed_conclusion", "b_parse_ok")}).drop(*[f"__{c}" for c in both])
 
 
 def side_long(pairs: DataFrame, views: dict[str, str] = VIEWS) -> DataFrame:

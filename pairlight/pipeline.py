@@ -72,7 +72,7 @@ def run_evaluation(predictions: DataFrame, model_a: str, model_b: str, settings:
     """Evaluates two runs against each other and writes reports by slice, tests and intervals."""
     folder = run_folder(settings, "evaluate", stamp)
     e = settings.evaluation
-    cells = cut(decisions.contingency(pairing.pair_runs(pairing.run(predictions, model_a), pairing.run(predictions, model_b))))
+    cells = cut(decisions.contingency(pairing.pair_runs(pairing.run(predictions, model_a, texts=False), pairing.run(predictions, model_b, texts=False))))
     report = cut(decisions.evaluation_report(decisions.both_sides(cells)))
     files.write_csv(report, f"{folder}/metrics_by_slice")
     files.write_csv(decisions.mcnemar(cells, min_n=e.min_slice_n).withColumn("stars", regression.stars("p_value")), f"{folder}/paired_significance")

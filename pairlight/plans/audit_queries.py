@@ -22,9 +22,9 @@ ORDER = ["received_at", "delivery_id"]
 # ---- shared frames ----
 
 
-def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+def _pairs(spark: SparkSession, folder: str, texts: bool = True) -> DataFrame:
     p = table(spark, folder, "predictions")
-    return pairing.pair_runs(pairing.run(p, A), pairing.run(p, B))
+    return pairing.pair_runs(pairing.run(p, A, texts=texts), pairing.run(p, B, texts=texts))
 
 
 def _r(*names: str, digits: int = 9):
@@ -81,7 +81,7 @@ def pair_two_runs(spark, folder):
 
 def pair_last_wins(spark, folder):
     p = table(spark, folder, "predictions").withColumn("key", labels.record_key("sample_id", "policy_id"))
-    return pairing.last_wins(p, ["model_id", "key"], ORDER).select("model_id", "key", "delivery_id")
+    return pairing.last_wins(p.select("model_id", "key", *ORDER), ["model_id", "key"], ORDER).select("model_id", "key", "delivery_id")
 
 
 def side_long(spark, folder):
@@ -229,7 +229,7 @@ def judge_parse(spark, folder):
 
 
 def _cells(spark, folder, dimensions=decisions.DIMENSIONS) -> DataFrame:
-    return decisions.contingency(_pairs(spark, folder), dimensions)
+    return decisions.contingency(_pairs(spark, folder, texts=False), dimensions)
 
 
 def decision_audit_overall(spark, folder):
@@ -256,7 +256,7 @@ def decision_eval_overall(spark, folder):
 def decision_eval_by_source(spark, folder):
     """Every model's report per source, over single runs."""
     p = table(spark, folder, "predictions").withColumn("key", labels.record_key("sample_id", "policy_id"))
-    one = pairing.last_wins(p, ["model_id", "key"], ORDER)
+    one = pairing.last_wins(p.select("model_id", "key", "source", "gold_label", "parse_ok", "parsed_conclusion", *ORDER), ["model_id", "key"], ORDER)
     src = F.coalesce(F.nullif("source", F.lit("")), F.lit("unknown"))
     rows = one.select("model_id", src.alias("source"), labels.label("gold_label").alias("gold"), F.coalesce("parse_ok", F.lit(False)).alias("ok"), labels.prediction("parsed_conclusion", "parse_ok").alias("pred"))
     cells = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
