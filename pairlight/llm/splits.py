@@ -23,6 +23,8 @@ PLACEHOLDERS = ("", "unknown", "anonymous", "n/a", "-")
 #: Components with at least this part of all records are placed one by one.
 LARGE_PART = 0.0005
 MAX_ROUNDS = 60
+#: Target tables have at most so many rows; more raise ValueError.
+MAX_SPLITS = 1000
 
 
 def _value(raw: Column) -> Column:
@@ -135,7 +137,10 @@ def assign_splits(samples: DataFrame, targets: DataFrame, seed: str = "17") -> D
     target_share); null or negative shares count as 0. Without a positive share
     it raises ValueError.
     """
-    wanted = {r[0]: max(0.0, r[1] or 0.0) for r in targets.select("split", "target_share").limit(1000).collect()}
+    rows = targets.select("split", "target_share").where("split is not null").limit(MAX_SPLITS + 1).collect()
+    if len(rows) > MAX_SPLITS:
+        raise ValueError("too many splits")
+    wanted = {r[0]: max(0.0, r[1] or 0.0) for r in rows}
     total_share = sum(wanted.values())
     if total_share <= 0:
         raise ValueError("no split has a positive target share")
@@ -168,6 +173,6 @@ def split_shares(samples: DataFrame, targets: DataFrame) -> DataFrame:
     n = done.groupBy(F.col("new_split").alias("split")).agg(F.count(F.lit(1)).alias("n_records"), F.countDistinct("component").alias("n_components"))
     all_n = n.agg(F.sum("n_records").alias("total"))
     return (
-        F.broadcast(targets).join(n, "split", "left").crossJoin(F.broadcast(all_n))
+        targets.join(n, "split", "left").crossJoin(F.broadcast(all_n))
         .select("split", "target_share", F.coalesce("n_records", F.lit(0)).alias("n_records"), F.coalesce("n_components", F.lit(0)).alias("n_components"), F.coalesce(F.col("n_records") / F.col("total"), F.lit(0.0)).alias("reached_share"))
     )
