@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from pairlight.cluster import row_numbers
 from pairlight.compat import py_strip
 from pairlight.functions.answers import short_hash
 
 
 def suffixed_ids(df: DataFrame, base: str, order: list[str], out: str = "sample_id") -> DataFrame:
     """``out``: the base id, with __k for its k-th repeat in ``order`` (the first has none)."""
-    k = F.row_number().over(Window.partitionBy(base).orderBy(*order)) - 1
-    return df.withColumn("__k", k).withColumn(out, F.when(F.col("__k") == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("__"), F.col("__k").cast("string")))).drop("__k")
+    k = F.col("__k") - 1
+    return row_numbers(df, [base], order, "__k").withColumn(out, F.when(k == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("__"), k.cast("string")))).drop("__k")
 
 
 def normalized(raw: DataFrame, order: list[str]) -> DataFrame:

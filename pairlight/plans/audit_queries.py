@@ -534,7 +534,7 @@ def annotation_merge(spark, folder):
 
 def context_lookup(spark, folder):
     """A left lookup on two keys: customers per nation with the region as context."""
-    n = table(spark, folder, "nation").join(F.broadcast(table(spark, folder, "region")), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    n = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     c = table(spark, folder, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n_customers"))
     return n.join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("n_name", "r_name", F.coalesce("n_customers", F.lit(0)).alias("n_customers"))
 

@@ -206,3 +206,15 @@ def test_first_annotation_and_counts(spark):
     notes = spark.createDataFrame([(1, "late", 5), (1, "early", 2), (3, "z", 1)], "id int, note string, t int")
     got = {r["id"]: (r["note"], r["n_annotations"]) for r in ingest.first_annotation(cases, notes, "id", ["t"], ["note"]).collect()}
     assert got == {1: ("early", 2), 2: (None, 0)}
+
+
+def test_row_numbers_equal_a_window(spark):
+    from pyspark.sql.window import Window
+
+    from pairlight.cluster import row_numbers
+
+    df = spark.range(500).select((F.col("id") * 7919 % 500).alias("o"), F.when(F.col("id") % 3 == 0, F.lit(None).cast("string")).when(F.col("id") % 3 == 1, F.lit("hot")).otherwise((F.col("id") % 11).cast("string")).alias("k"), F.lit(1).alias("row"))
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("o")).cast("bigint"))
+    got = row_numbers(df, ["k"], ["o"], "n")
+    assert got.columns == want.columns and got.count() == 500 and got.exceptAll(want).count() == 0
+    assert row_numbers(df.limit(0), ["k"], ["o"], "n").count() == 0
