@@ -14,8 +14,8 @@ def main(args: list[str] | None = None) -> str:
     parser.add_argument("--predictions", help="Parquet of predictions (for train: distillation outputs)")
     parser.add_argument("--repair", help="Parquet of repair outputs")
     parser.add_argument("--cache", help="Parquet of cached scores")
-    parser.add_argument("--model-a", default="M0")
-    parser.add_argument("--model-b", default="DART_H")
+    parser.add_argument("--model-a", help="model id of run A")
+    parser.add_argument("--model-b", help="model id of run B")
     parser.add_argument("--order", default="delivery_id", help="columns that order rows, separated by commas")
     parser.add_argument("--config")
     parser.add_argument("--override", action="append", default=[], metavar="a.b=value")

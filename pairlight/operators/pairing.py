@@ -34,14 +34,14 @@ _SIDE = ("model_id", "base_model", "adapter_path", "raw_text", "parsed_analysis"
 _TEXTS = ("prompt", "meta", "raw_text", "parsed_analysis", "base_model", "adapter_path", "parse_issues")
 
 
-def run(predictions: DataFrame, model_id: str, order: Sequence[str] = ("received_at", "delivery_id"), texts: bool = True) -> DataFrame:
+def run(predictions: DataFrame, model: str | Column, order: Sequence[str] = ("received_at", "delivery_id"), texts: bool = True) -> DataFrame:
     """One model's predictions with ``key``, the last row of each key.
 
-    Only columns that pairs have are read and shuffled; without ``texts`` the
+    ``model`` is a model id, or a condition that one model's rows fulfil. Only columns that pairs have are read and shuffled; without ``texts`` the
     long ones stay in the file.
     """
     wanted = [c for c in (*_SHARED, *_SIDE) if c in predictions.columns and (texts or c not in _TEXTS)]
-    own = predictions.where(F.col("model_id") == model_id).select(*wanted, *order).withColumn("key", record_key("sample_id", "policy_id"))
+    own = predictions.where(F.col("model_id") == model if isinstance(model, str) else model).select(*wanted, *order).withColumn("key", record_key("sample_id", "policy_id"))
     return last_wins(own, ["key"], order)
 
 

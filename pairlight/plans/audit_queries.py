@@ -1,7 +1,8 @@
 """Registered queries of the audit, evaluation and training-set operators, with their SQL.
 
-Run A is model M0, run B model DART_H; scores are those of the score cache, or
-where a query says so a stand-in score out of a hash, which both engines share.
+Run A is the model M0, run B the one whose id ends in _H; scores are those of the
+score cache, or where a query says so a stand-in score out of a hash, which both
+engines share.
 """
 
 from __future__ import annotations
@@ -15,16 +16,23 @@ from pairlight.functions import answers, labels, regression
 from pairlight.operators import decisions, ingest, pairing, sampling, scoring, stats
 from pairlight.plans.data_queries import _trim
 
-A, B = "M0", "DART_H"
+#: SQL conditions of the runs; C are all others.
+RUNS = {"A": "model_id = 'M0'", "B": "ends_with(model_id, '_H')", "C": "NOT (model_id = 'M0' OR ends_with(model_id, '_H'))"}
 ORDER = ["received_at", "delivery_id"]
 
 
 # ---- shared frames ----
 
 
+def _of(run: str) -> Column:
+    """The rows of a run; in forms that reach the Parquet scan."""
+    m = F.col("model_id")
+    return {"A": m == "M0", "B": m.endswith("_H"), "C": (m != "M0") & ~m.endswith("_H")}[run]
+
+
 def _pairs(spark: SparkSession, folder: str, texts: bool = True) -> DataFrame:
     p = table(spark, folder, "predictions")
-    return pairing.pair_runs(pairing.run(p, A, texts=texts), pairing.run(p, B, texts=texts))
+    return pairing.pair_runs(pairing.run(p, _of("A"), texts=texts), pairing.run(p, _of("B"), texts=texts))
 
 
 def _r(*names: str, digits: int = 9):
@@ -54,7 +62,7 @@ _PAIRS = f"""{_LAST}, pairs AS (SELECT a.key, a.sample_id, coalesce(a.policy_id,
   a.raw_text AS a_raw_text, b.raw_text AS b_raw_text, a.parsed_analysis AS a_parsed_analysis, b.parsed_analysis AS b_parsed_analysis,
   coalesce(a.parse_ok, false) AS a_ok, coalesce(b.parse_ok, false) AS b_ok,
   CASE WHEN a.parse_ok THEN {_label("a.parsed_conclusion")} END AS a_pred, CASE WHEN b.parse_ok THEN {_label("b.parsed_conclusion")} END AS b_pred
-  FROM last a JOIN last b ON a.key = b.key AND a.model_id = '{A}' AND b.model_id = '{B}')"""
+  FROM last a JOIN last b ON a.key = b.key AND a.{RUNS['A']} AND {RUNS['B'].replace('model_id', 'b.model_id')})"""
 
 _HASH = "cast(('0x' || substr(md5('{m}:' || {c}), 1, 8)) AS ubigint) / 4294967296e0"
 
@@ -111,8 +119,8 @@ def attach_scores(spark, folder):
 def resume_anti_join(spark, folder):
     """Samples and policies that run B still has to answer, given run A's keys; failures again."""
     p = table(spark, folder, "predictions")
-    keyed = lambda m: pairing.run(p, m).select(F.col("sample_id"), labels.policy("policy_id").alias("policy"), F.col("parse_ok").alias("success"))
-    return scoring.resume(keyed(A).select("sample_id", "policy"), keyed(B), ["sample_id", "policy"], reprocess_failed=True)
+    keyed = lambda m: pairing.run(p, _of(m), texts=False).select(F.col("sample_id"), labels.policy("policy_id").alias("policy"), F.col("parse_ok").alias("success"))
+    return scoring.resume(keyed("A").select("sample_id", "policy"), keyed("B"), ["sample_id", "policy"], reprocess_failed=True)
 
 
 _SIDES = f"""{_PAIRS}, long AS (SELECT key, side, view, text FROM (
@@ -288,7 +296,7 @@ def bootstrap_delta(spark, folder):
 def latex_matrix(spark, folder):
     """Accuracy and macro F1 of every model side by side per source."""
     long = decision_eval_by_source(spark, folder)
-    aggs = [F.max(F.when(F.col("model_id") == m, F.col(c))).alias(f"{m}_{c}") for m in ("M0", "DART", "DART_H") for c in ("acc_on_parsed", "macro_f1_on_parsed")]
+    aggs = [F.max(F.when(_of(m), F.col(c))).alias(f"{m}_{c}") for m in RUNS for c in ("acc_on_parsed", "macro_f1_on_parsed")]
     return long.groupBy("source").agg(*aggs)
 
 
@@ -598,27 +606,27 @@ def clean_teacher(spark, folder):
     return sampling.clean_teacher(table(spark, folder, "predictions")).select("delivery_id", "sample_id", "conclusion", F.md5("target").alias("target_md5"))
 
 
-def _examples(spark, folder, model: str) -> DataFrame:
-    own = table(spark, folder, "predictions").where(F.col("model_id") == model)
+def _examples(spark, folder, run: str) -> DataFrame:
+    own = table(spark, folder, "predictions").where(_of(run))
     sev = F.element_at(F.array(*[F.lit(s) for s in ("none", "mild", "moderate", "severe", "extreme")]), (F.floor(scoring.hash_score("S", F.col("target")) * 5) + 1).cast("int"))
     return sampling.clean_teacher(own).select("sample_id", "target", "delivery_id").withColumn("severity_bin", sev)
 
 
 def dedupe_first_wins(spark, folder):
-    return sampling.deduplicated(_examples(spark, folder, B), ["delivery_id"]).select("sample_id", "target_hash", "delivery_id")
+    return sampling.deduplicated(_examples(spark, folder, "B"), ["delivery_id"]).select("sample_id", "target_hash", "delivery_id")
 
 
 def oversample_by_severity(spark, folder):
-    return sampling.oversampled(sampling.deduplicated(_examples(spark, folder, B), ["delivery_id"])).groupBy("severity_bin").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("delivery_id").alias("n_different"))
+    return sampling.oversampled(sampling.deduplicated(_examples(spark, folder, "B"), ["delivery_id"])).groupBy("severity_bin").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("delivery_id").alias("n_different"))
 
 
 def training_mix(spark, folder):
-    mix = sampling.training_mix(_examples(spark, folder, A), _examples(spark, folder, B), ["delivery_id"])
+    mix = sampling.training_mix(_examples(spark, folder, "A"), _examples(spark, folder, "B"), ["delivery_id"])
     return mix.groupBy("delivery_id").agg(F.count(F.lit(1)).alias("n_copies"))
 
 
 def training_mix_compat(spark, folder):
-    mix = sampling.training_mix(_examples(spark, folder, A), _examples(spark, folder, B), ["delivery_id"], compat=True)
+    mix = sampling.training_mix(_examples(spark, folder, "A"), _examples(spark, folder, "B"), ["delivery_id"], compat=True)
     return mix.groupBy("delivery_id").agg(F.count(F.lit(1)).alias("n_copies"))
 
 
@@ -632,9 +640,9 @@ _CLEAN = f"""clean AS (SELECT *, CASE WHEN upper({_trim("parsed_conclusion")}) I
   WHERE found IS NOT NULL), kept AS (SELECT * FROM clean WHERE gold IS NULL OR gold = conclusion)"""
 
 
-def _kept(model: str) -> str:
+def _kept(run: str) -> str:
     sev = "['none','mild','moderate','severe','extreme'][cast(floor((" + _HASH.format(m="S", c="target") + ") * 5) AS int) + 1]"
-    return f"SELECT sample_id, substr(sha256(target), 1, 12) AS target_hash, min(delivery_id) AS delivery_id, {sev} AS severity_bin FROM kept WHERE model_id = '{model}' GROUP BY ALL"
+    return f"SELECT sample_id, substr(sha256(target), 1, 12) AS target_hash, min(delivery_id) AS delivery_id, {sev} AS severity_bin FROM kept WHERE {RUNS[run]} GROUP BY ALL"
 
 
 # ---- rendering, features ----
@@ -706,7 +714,7 @@ SQL = {
     "attach_scores": f"""WITH {_SIDES}, {_CACHE} SELECT p.key, a.score AS a_score, b.score AS b_score FROM pairs p
       LEFT JOIN (SELECT key, score FROM hashed JOIN cache USING (text_hash) WHERE view = 'full_output' AND side = 'A' AND scorer_id = 'hf_hate') a ON a.key = p.key
       LEFT JOIN (SELECT key, score FROM hashed JOIN cache USING (text_hash) WHERE view = 'full_output' AND side = 'B' AND scorer_id = 'hf_hate') b ON b.key = p.key""",
-    "resume_anti_join": f"""WITH {_LAST} SELECT sample_id, coalesce(policy_id,'policy_unknown') AS policy FROM last WHERE model_id = '{A}' AND key NOT IN (SELECT key FROM last WHERE model_id = '{B}' AND coalesce(parse_ok, false))""",
+    "resume_anti_join": f"""WITH {_LAST} SELECT sample_id, coalesce(policy_id,'policy_unknown') AS policy FROM last WHERE {RUNS['A']} AND key NOT IN (SELECT key FROM last WHERE {RUNS['B']} AND coalesce(parse_ok, false))""",
     "severity_rows": f"WITH {_SCORED} SELECT key, a_score, b_score, delta, severity FROM trig",
     "trigger_rows": f"WITH {_SCORED} SELECT key, triggered, pool_keep, severity, delta FROM pooled",
     "regression_summary": f"WITH {_SCORED} SELECT {_TOTALS} FROM pooled",
@@ -737,7 +745,7 @@ SQL = {
     "delta_metrics": _delta_sql(),
     "mcnemar_overall": f"""WITH {_PAIRS} SELECT *, CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE '' END AS stars FROM ({_mcnemar_sql('').format(frm='pairs')})""",
     "mcnemar_by_slice": f"WITH {_CELLS} {_mcnemar_sql('slice_name, slice_value', 'HAVING count(*) >= 30').format(frm='sliced')}",
-    "latex_matrix": f"WITH {_SINGLE}, rep AS ({_report_sql('single', 'model_id, source')}) SELECT source, " + ", ".join(f"max({c}) FILTER (WHERE model_id = '{m}') AS \"{m}_{c}\"" for m in ("M0", "DART", "DART_H") for c in ("acc_on_parsed", "macro_f1_on_parsed")) + " FROM rep GROUP BY source",
+    "latex_matrix": f"WITH {_SINGLE}, rep AS ({_report_sql('single', 'model_id, source')}) SELECT source, " + ", ".join(f"max({c}) FILTER (WHERE {RUNS[m]}) AS \"{m}_{c}\"" for m in RUNS for c in ("acc_on_parsed", "macro_f1_on_parsed")) + " FROM rep GROUP BY source",
     "harm_overall": f"WITH {_LONG} {_summary_sql('scores', 'view, metric, side', 'score')}",
     "harm_slices": f"WITH {_LONG} {_summary_sql('scores_sliced', 'slice_name, slice_value, view, metric, side', 'score')}",
     "mwu_overall": f"WITH {_LONG} {_mwu_sql('scores', 'view, metric', 'score', 'B', 'A')}",
@@ -786,10 +794,10 @@ SQL = {
     "reservoir_sample": f"SELECT doc_id FROM documents ORDER BY {_SEED.format(seed=42, k='doc_id')}, doc_id LIMIT 100",
     "train_val_split": f"SELECT sample_id, rn <= greatest(1, round_even(n * 0.05e0, 0)) AS is_val FROM (SELECT sample_id, row_number() OVER (ORDER BY {_SEED.format(seed=42, k='sample_id')}, sample_id) AS rn, count(*) OVER () AS n FROM samples)",
     "clean_teacher": f"WITH {_CLEAN} SELECT delivery_id, sample_id, conclusion, md5(target) AS target_md5 FROM kept",
-    "dedupe_first_wins": f"WITH {_CLEAN} SELECT sample_id, target_hash, delivery_id FROM ({_kept(B)})",
-    "oversample_by_severity": f"WITH {_CLEAN} SELECT severity_bin, sum({_TIMES})::BIGINT AS n, count(*) AS n_different FROM ({_kept(B)}) GROUP BY 1",
-    "training_mix": f"WITH {_CLEAN} SELECT delivery_id, {_TIMES}::BIGINT AS n_copies FROM ({_kept(B)}) UNION ALL SELECT delivery_id, 1::BIGINT FROM ({_kept(A)})",
-    "training_mix_compat": f"WITH {_CLEAN} SELECT min(delivery_id) AS delivery_id, 1::BIGINT AS n_copies FROM (SELECT * FROM ({_kept(B)}) UNION ALL SELECT * FROM ({_kept(A)})) GROUP BY sample_id, target_hash",
+    "dedupe_first_wins": f"WITH {_CLEAN} SELECT sample_id, target_hash, delivery_id FROM ({_kept('B')})",
+    "oversample_by_severity": f"WITH {_CLEAN} SELECT severity_bin, sum({_TIMES})::BIGINT AS n, count(*) AS n_different FROM ({_kept('B')}) GROUP BY 1",
+    "training_mix": f"WITH {_CLEAN} SELECT delivery_id, {_TIMES}::BIGINT AS n_copies FROM ({_kept('B')}) UNION ALL SELECT delivery_id, 1::BIGINT FROM ({_kept('A')})",
+    "training_mix_compat": f"WITH {_CLEAN} SELECT min(delivery_id) AS delivery_id, 1::BIGINT AS n_copies FROM (SELECT * FROM ({_kept('B')}) UNION ALL SELECT * FROM ({_kept('A')})) GROUP BY sample_id, target_hash",
     "render_chat": f"""SELECT delivery_id, md5('[SYSTEM]' || chr(10) || CASE WHEN policy_id = 'policy_on' THEN '{answers.SYSTEM["policy_on"].replace(chr(10), "' || chr(10) || '")}' ELSE '{answers.SYSTEM["policy_off"].replace(chr(10), "' || chr(10) || '")}' END
       || chr(10) || chr(10) || '[USER]' || chr(10) || 'Prompt:' || chr(10) || coalesce(prompt,'') || chr(10) || chr(10) || '[ASSISTANT]' || chr(10) || coalesce(raw_text,'')) AS md5 FROM predictions""",
     "pad_batch": """WITH d AS (SELECT doc_id, doc_id % 50 AS batch, (list_transform(list_filter(string_split(coalesce(text,''), ' '), lambda w: w <> ''), lambda w: length(w)))[1:12] AS ids FROM documents), s AS (SELECT batch, max(len(ids)) AS longest FROM d GROUP BY 1)

@@ -94,9 +94,10 @@ def test_judge_calls_once_for_equal_pairs(spark, tmp_path):
 def test_audit_modes_write_their_artifacts(spark, tiny, tmp_path, mode):
     s = config.with_overrides(config.Settings(), [f"run.folder={tmp_path}", f"audit.judge_mode={mode}", "audit.min_slice_n=5"])
     p, c = spark.read.parquet(f"{tiny}/predictions.parquet"), spark.read.parquet(f"{tiny}/score_cache.parquet")
-    pairs = pairing.pair_runs(pairing.run(p, "M0"), pairing.run(p, "DART_H"))
+    other = p.agg(F.max(F.when(F.col("model_id") != "M0", F.col("model_id")))).first()[0]
+    pairs = pairing.pair_runs(pairing.run(p, "M0"), pairing.run(p, other))
     judged = pairs.select("key", F.pmod(F.xxhash64("key"), F.lit(3)).eqNullSafe(0).alias("is_harmful"), F.lit("severe").alias("severity"), F.lit(True).alias("success"))
-    folder = pipeline.run_audit(p, c, "M0", "DART_H", s, judged, stamp="x")
+    folder = pipeline.run_audit(p, c, "M0", other, s, judged, stamp="x")
     summary = json.loads((folder / "summary.json").read_text())
     n = pairs.count()
     assert summary["regressions"]["n"] == n == sum(summary["by_regression_source"].values())
@@ -107,9 +108,11 @@ def test_audit_modes_write_their_artifacts(spark, tiny, tmp_path, mode):
 
 def test_command_line(spark, tiny, tmp_path):
     pred = f"{tiny}/predictions.parquet"
-    out = cli.main(["evaluate", "--predictions", pred, "--override", f"run.folder={tmp_path}", "--override", "evaluation.n_boot=50", "--override", "evaluation.min_slice_n=5"])
+    other = spark.read.parquet(pred).agg(F.max(F.when(F.col("model_id") != "M0", F.col("model_id")))).first()[0]
+    models = ["--model-a", "M0", "--model-b", other]
+    out = cli.main(["evaluate", "--predictions", pred, *models, "--override", f"run.folder={tmp_path}", "--override", "evaluation.n_boot=50", "--override", "evaluation.min_slice_n=5"])
     assert "\\toprule" in open(f"{out}/main_table.tex").read() and len(json.load(open(f"{out}/summary.json"))["bootstrap"]) == 2
     out = cli.main(["train", "--predictions", pred, "--repair", pred, "--override", f"run.folder={tmp_path}"])
     assert spark.read.parquet(f"{out}/examples").where("part = 'val'").count() >= 1
-    out = cli.main(["audit", "--predictions", pred, "--cache", f"{tiny}/score_cache.parquet", "--override", f"run.folder={tmp_path}"])
-    assert json.load(open(f"{out}/summary.json"))["model_b"] == "DART_H"
+    out = cli.main(["audit", "--predictions", pred, *models, "--cache", f"{tiny}/score_cache.parquet", "--override", f"run.folder={tmp_path}"])
+    assert json.load(open(f"{out}/summary.json"))["model_b"] == other
