@@ -164,7 +164,8 @@ def find_subsequence(hay: Column | str, needle: Column | str) -> Column:
     h, n = _c(hay), _c(needle)
     last = F.size(h) - F.size(n)
     places = F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice(h, i + 1, F.size(n)) == n)).otherwise(F.array().cast("array<int>"))
-    return F.when(F.size(n) == 0, F.lit(0)).otherwise(F.coalesce(F.try_element_at(places, F.lit(1)), F.lit(-1)))
+    starts = (F.size(n) == 0) | (F.slice(h, F.lit(1), F.size(n)) == n)  # the usual case, without a slice a place
+    return F.when(starts, F.lit(0)).otherwise(F.coalesce(F.try_element_at(places, F.lit(1)), F.lit(-1)))
 
 
 def training_features(prompt_ids: Column | str, full_ids: Column | str, max_length: int, ignore: int = -100) -> Column:

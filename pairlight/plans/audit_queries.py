@@ -658,10 +658,15 @@ def _ids(c: Column) -> Column:
     return F.transform(F.filter(F.split(F.coalesce(c, F.lit("")), " "), lambda w: w != ""), lambda w: F.length(w))
 
 
+_FIRST_SENTENCE = r"(?s)^.*?[.!?…。！？]+[\"'”’»)\]]*(?= |$)"
+
+
 def label_mask(spark, folder):
-    d = table(spark, folder, "documents").where("text is not null")
-    p, f = _ids(F.substring("text", 1, 40)), _ids(F.concat(F.substring("text", 1, 40), F.lit(" "), F.substring("text", 41, 200)))
-    x = d.select("doc_id", answers.training_features(p, f, 32).alias("x"))
+    """The first sentence is the prompt, the rest the response; a text of one sentence is all prompt."""
+    text = F.col("text")
+    first = F.coalesce(F.nullif(F.regexp_extract(text, _FIRST_SENTENCE, 0), F.lit("")), text)
+    d = table(spark, folder, "documents").where("text is not null").select("doc_id", _ids(first).alias("p"), _ids(text).alias("f"))
+    x = d.select("doc_id", answers.training_features("p", "f", 32).alias("x"))
     return x.select("doc_id", F.array_join(F.transform("x.input_ids", lambda v: v.cast("string")), ",").alias("input_ids"), F.array_join(F.transform("x.labels", lambda v: v.cast("string")), ",").alias("labels"))
 
 
