@@ -41,6 +41,8 @@ from pairlight.cluster import broadcast_if_small, cut, spread
 WORDS_AN_EDIT = 8
 #: Words of a suffix that the array compares; no piece is longer.
 DEPTH = 7
+#: Words of the shortest run that counts as covered; no shorter piece ever did.
+SPAN_WORDS = 3
 #: Suffixes of one side that a sorted cell may hold; larger cells are salted.
 CELL = 20_000
 #: An interval or word is written out as pairs while these are at most so many a row.
@@ -215,8 +217,8 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-#: kind 0: candidate pair (train class, evaluation class); 1: marked class; 2: span of an evaluation class.
-HIT = "kind int, train boolean, t1 bigint, t2 bigint, e1 bigint, e2 bigint, pos int, words int"
+#: kind 0: candidate pair (train class, evaluation class); 1: marked class.
+HIT = "kind int, train boolean, t1 bigint, t2 bigint, e1 bigint, e2 bigint"
 
 
 def close(n_a, n_b, s1_a, s1_b, s2_a, s2_b):
@@ -227,7 +229,7 @@ def close(n_a, n_b, s1_a, s1_b, s2_a, s2_b):
     return (np.abs(n_a - n_b) <= k) & (bits(s1_a, s1_b) + bits(s2_a, s2_b) <= 2 * k)
 
 
-def _hits(buf: dict[str, np.ndarray], spans: bool) -> Iterator[pa.RecordBatch]:
+def _hits(buf: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Hits of whole cells whose suffixes are sorted."""
     key, cell = buf["key"], buf["cell"]
     if not len(key):
@@ -236,7 +238,7 @@ def _hits(buf: dict[str, np.ndarray], spans: bool) -> Iterator[pa.RecordBatch]:
     lcp = np.concatenate([[0], same.sum(axis=1)])
     train = buf["train"]
     evals = np.flatnonzero(~train)
-    marked, depth = [], np.zeros(len(key), dtype=int)
+    marked = []
     for s in np.unique(buf["piece"][train]):
         group = np.cumsum(lcp < s)
         rows = np.flatnonzero(train & (buf["piece"] == s))
@@ -245,8 +247,6 @@ def _hits(buf: dict[str, np.ndarray], spans: bool) -> Iterator[pa.RecordBatch]:
         both = (nt > 0) & (ne > 0)
         many = both & (nt * ne > PAIRS_A_ROW * (nt + ne))
         few = both & ~many
-        hit = evals[both[group[evals]]]
-        depth[hit] = np.maximum(depth[hit], s)
         marked += [rows[many[group[rows]]], evals[many[group[evals]]]]
         first = np.searchsorted(group[evals], np.arange(size))  # evaluation suffixes of a group are neighbours
         rows = rows[few[group[rows]]]
@@ -264,23 +264,20 @@ def _hits(buf: dict[str, np.ndarray], spans: bool) -> Iterator[pa.RecordBatch]:
             ok &= (buf["c1"][t] != buf["c1"][e]) | (buf["c2"][t] != buf["c2"][e])
             t, e = t[ok], e[ok]
             if len(t):
-                yield _hit_batch(0, np.ones(len(t), bool), buf["c1"][t], buf["c2"][t], buf["c1"][e], buf["c2"][e], None, None)
+                yield _hit_batch(0, np.ones(len(t), bool), buf["c1"][t], buf["c2"][t], buf["c1"][e], buf["c2"][e])
             begin = end
     if marked and len(m := np.unique(np.concatenate(marked))):
         both = np.unique(np.stack([buf["train"][m].astype(np.int64), buf["c1"][m], buf["c2"][m]], axis=1), axis=0)
-        yield _hit_batch(1, both[:, 0].astype(bool), both[:, 1], both[:, 2], None, None, None, None)
-    if spans and len(h := np.flatnonzero(depth > 0)):
-        yield _hit_batch(2, np.zeros(len(h), bool), None, None, buf["c1"][h], buf["c2"][h], buf["pos"][h], depth[h])
+        yield _hit_batch(1, both[:, 0].astype(bool), both[:, 1], both[:, 2], None, None)
 
 
-def _hit_batch(kind, train, t1, t2, e1, e2, pos, words) -> pa.RecordBatch:
+def _hit_batch(kind, train, t1, t2, e1, e2) -> pa.RecordBatch:
     n = len(train)
     long = lambda x: pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64())
-    short = lambda x: pa.nulls(n, pa.int32()) if x is None else pa.array(x.astype(np.int32))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(train), long(t1), long(t2), long(e1), long(e2), short(pos), short(words)], names=["kind", "train", "t1", "t2", "e1", "e2", "pos", "words"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(train), long(t1), long(t2), long(e1), long(e2)], names=["kind", "train", "t1", "t2", "e1", "e2"])
 
 
-def _cells(spans: bool):
+def _cells():
     """Reader of a sorted partition: gathers whole cells, a few ten thousand suffixes at a time."""
     names = ("cell", "train", "piece", "pos", "n", "c1", "c2", "s1", "s2")
 
@@ -299,16 +296,16 @@ def _cells(spans: bool):
             if rows >= 2 * CELL and held[0]["cell"][0] != part["cell"][-1]:
                 whole = {c: np.concatenate([h[c] for h in held]) for c in (*names, "key")}
                 cut_at = int(np.flatnonzero(whole["cell"] != whole["cell"][-1])[-1]) + 1
-                yield from _hits({c: v[:cut_at] for c, v in whole.items()}, spans)
+                yield from _hits({c: v[:cut_at] for c, v in whole.items()})
                 held = [{c: v[cut_at:] for c, v in whole.items()}]
                 rows = len(held[0]["cell"])
         if held:
-            yield from _hits({c: np.concatenate([h[c] for h in held]) for c in (*names, "key")}, spans)
+            yield from _hits({c: np.concatenate([h[c] for h in held]) for c in (*names, "key")})
 
     return read
 
 
-def shared_spans(cls: DataFrame, spans: bool = False) -> DataFrame:
+def shared_spans(cls: DataFrame) -> DataFrame:
     """Hits of the suffix array (see HIT)."""
     suffixes = cut(cls.select("c1", "c2", "words", "in_train", "in_eval").mapInArrow(_suffixes, SUFFIX))
     heads = suffixes.groupBy("head").agg(F.sum(F.col("train").cast("int")).alias("nt"), F.sum((~F.col("train")).cast("int")).alias("ne"))
@@ -326,7 +323,7 @@ def shared_spans(cls: DataFrame, spans: bool = False) -> DataFrame:
         .withColumn("cell", F.when(F.col("rt").isNull(), F.col("head")).otherwise(F.xxhash64("head", F.when(F.col("train"), mine).otherwise(F.col("o")), F.when(F.col("train"), F.col("o")).otherwise(mine))))
         .drop("o", "rt", "re", "head")
     )
-    return placed.repartition("cell").sortWithinPartitions("cell", "key").mapInArrow(_cells(spans), HIT)
+    return placed.repartition("cell").sortWithinPartitions("cell", "key").mapInArrow(_cells(), HIT)
 
 
 # ---- records that only share what many share ----
@@ -479,15 +476,22 @@ def overlap_report(samples: DataFrame) -> DataFrame:
 def span_coverage(samples: DataFrame) -> DataFrame:
     """``sample_id``, ``n_words``, ``n_covered`` of each val or test record with words.
 
-    Covered are the words inside any span of a training text's piece that the
-    record shares; overlapping spans are merged. Records under seven words are
-    covered whole if a training record has the same words, else not at all.
+    Covered is every word inside a run of SPAN_WORDS words or more that stands
+    anywhere in a training text; overlapping runs are merged. A run is the union
+    of its windows of SPAN_WORDS words, so windows of all places of both sides
+    find its whole length. Records under SPAN_WORDS words are covered whole if a
+    training record has the same words, else not at all.
     """
     recs = cut(records(samples))
     cls = cut(classes(recs))
-    spans = shared_spans(cls, spans=True).where("kind = 2").groupBy(F.col("e1").alias("c1"), F.col("e2").alias("c2"), "pos").agg(F.max("words").alias("words"))
-    inside = F.transform("spans", lambda s: F.sequence(s["pos"], s["pos"] + s["words"] - 1))
-    merged = spans.groupBy("c1", "c2").agg(F.collect_list(F.struct("pos", "words")).alias("spans")).select("c1", "c2", F.size(F.array_distinct(F.flatten(inside))).alias("covered"))
+    w = F.split("words", " ")
+    window = F.arrays_zip(*[F.slice(w, k + 1, F.size(w)).alias(f"w{k}") for k in range(SPAN_WORDS)])
+    every = cls.where(F.size(w) >= SPAN_WORDS).select("c1", "c2", "in_train", "in_eval", F.posexplode(window).alias("pos", "window"))
+    every = every.where(F.col(f"window.w{SPAN_WORDS - 1}").isNotNull()).withColumns({"g1": F.xxhash64("window"), "g2": F.xxhash64(F.lit("second"), "window")})
+    known = every.where("in_train").select("g1", "g2").distinct()
+    spans = every.where("in_eval and not in_train").select("c1", "c2", "pos", "g1", "g2").join(known, ["g1", "g2"], "left_semi")
+    inside = F.transform("spans", lambda at: F.sequence(at, at + SPAN_WORDS - 1))
+    merged = spans.groupBy("c1", "c2").agg(F.collect_list("pos").alias("spans")).select("c1", "c2", F.size(F.array_distinct(F.flatten(inside))).alias("covered"))
     n = F.size(F.split("words", " "))
     per = cls.where("in_eval").join(merged, ["c1", "c2"], "left").select("c1", "c2", n.alias("n_words"), F.when(F.col("in_train"), n).otherwise(F.coalesce("covered", F.lit(0))).alias("n_covered"))
     return recs.where("not train").select("sample_id", "c1", "c2").join(per, ["c1", "c2"]).select("sample_id", "n_words", "n_covered")
