@@ -36,10 +36,6 @@ MAX_REVIEWED = 20_000
 MAX_REVIEW_CHARS = 20_000
 #: Clean sentences of reviewed documents used for fitting, at most.
 MAX_CLEAN = 24_000
-#: Prompts, answers, and documents each that nobody reviewed and that show fitting what is usual, at most.
-MAX_UNSEEN = 3_000
-#: An opening of three words is usual if so many of these texts have it.
-USUAL = 0.003
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 20, 16, (1, 2, 3, 4)
 EPOCHS, BATCH, RATE = 12, 128, 0.1
 #: One reviewed document in so many is held out for the thresholds.
@@ -356,12 +352,10 @@ def trigrams(ids: list[int]) -> set[tuple[int, ...]]:
     return {tuple(ids[i : i + 3]) for i in range(max(1, len(ids) - 2))}
 
 
-def fit(reviewed: list[tuple[str, int]], unseen: list[str] = ()) -> Model:
+def fit(reviewed: list[tuple[str, int]]) -> Model:
     """The model from seeds and reviewed texts (text, 1 or 0), thresholds included.
 
-    ``unseen`` are texts that nobody reviewed. Those of their sentences that share
-    hardly a trigram with an abusive one, and that the first network finds clean,
-    or not abusive if many texts have their opening, count as clean.
+    Texts that nobody reviewed are no examples of anything, however many hold them.
 
     Reviews are of whole texts and some are mistaken. A first network, of seeds
     and the sentences of clean texts, and word trigrams that clean texts do not
@@ -411,19 +405,7 @@ def fit(reviewed: list[tuple[str, int]], unseen: list[str] = ()) -> Model:
     again = max(1, min(8, 400 // max(1, len(abusive))))
     more = [(s, 1.0, 1.0) for s in abusive for _ in range(again)] + [(disguise(s, k), 1.0, 1.0) for k, s in enumerate(abusive)]
     bits = [(fragment(s, k), 0.0, 1.0) for k, s in enumerate(clean[: MAX_CLEAN // 6])]
-    known = {g for s, l, _ in base if l for g in trigrams(ids(s))} | {g for s in abusive for g in trigrams(ids(s))}
-    parts = [s for t in unseen for s in chunks(t[:MAX_REVIEW_CHARS])]
-    opening = lambda s: tuple(ids(s)[:3])
-    openings = Counter(opening(s) for s in parts)
-    other = sorted(set(parts) - set(clean), key=xxhash.xxh64_intdigest)[:MAX_CLEAN]
-    usual = []
-    for s, p in zip(other, first.score(other)):
-        g = trigrams(ids(s))
-        often_seen = openings[opening(s)] >= max(5, USUAL * len(unseen))
-        if p < (0.7 if often_seen else 0.2) and sum(x in known for x in g) < (0.5 if often_seen else 0.2) * len(g):
-            usual.append((s, 0.0, 1.0))
-    usual = usual[: MAX_CLEAN // 2]
-    model = train(base + bits + usual + more + [heavy(s, 3.0 if s in near else 1.0) for s in dict.fromkeys(chosen)])
+    model = train(base + bits + more + [heavy(s, 3.0 if s in near else 1.0) for s in dict.fromkeys(chosen)])
     model.thresholds = calibrate(model, held)
     model.abusive = abusive
     return model
@@ -470,16 +452,6 @@ def reviewed_documents(documents: DataFrame, labels: DataFrame) -> list[tuple[st
     return [(r["text"], int(r["share"] >= 0.5)) for r in sorted(rows, key=lambda r: xxhash.xxh64_intdigest(str(r["doc_id"])))]
 
 
-def unseen_texts(samples: DataFrame, predictions: DataFrame, documents: DataFrame) -> list[str]:
-    """At most MAX_UNSEEN prompts, answers and documents each, chosen by hash."""
-    out = []
-    for df, key, text in ((samples, "sample_id", "prompt"), (predictions, "delivery_id", "raw_text"), (documents, "doc_id", "text")):
-        chosen = cut(df.where(F.col(text).isNotNull()).select(key).orderBy(F.xxhash64(key)).limit(MAX_UNSEEN))
-        rows = df.join(broadcast_if_small(chosen, 64), key, "left_semi").select(key, F.substring(text, 1, MAX_REVIEW_CHARS).alias("t")).limit(2 * MAX_UNSEEN).collect()
-        out += [r["t"] for r in sorted(rows, key=lambda r: xxhash.xxh64_intdigest(str(r[0])))]
-    return out
-
-
 # ---- operators ----
 
 SCORED = "record_key string, source string, field string, score double, threshold double, worst string"
@@ -516,7 +488,7 @@ def score_fields(samples: DataFrame, predictions: DataFrame, documents: DataFram
     texts score 0. Every delivered row counts, and texts are read whole.
     """
     spark: SparkSession = documents.sparkSession
-    model = spark.sparkContext.broadcast(fit(reviewed_documents(documents, labels), unseen_texts(samples, predictions, documents)))
+    model = spark.sparkContext.broadcast(fit(reviewed_documents(documents, labels)))
     run = scorer(model)
     parts = [
         samples.select(F.col("sample_id").alias("record_key"), "source", F.col("prompt").alias("samples__prompt")),

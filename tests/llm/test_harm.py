@@ -63,3 +63,14 @@ def test_fields(spark):
     rates = {(r["field"], r["source"]): (r["n_texts"], r["n_abusive"]) for r in harm.abuse_rates(samples, preds, docs, labels).collect()}
     assert rates["predictions.raw_text", "D1"] == (3, 1) and rates["documents.text", "unknown"] == (1, 1)
     assert harm.score_fields(samples.limit(0), preds.limit(0), docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_frequent_unreviewed_texts_teach_nothing(spark):
+    """Many answers that repeat one abusive sentence do not make it clean."""
+    hot = "People like Karla are a plague on this town."
+    docs = spark.createDataFrame([(i, "D1", f"The mean of {i} scores was low. The rate rose in {i} towns. We met at the school in {i}.") for i in range(300)], "doc_id bigint, source string, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(300)], "doc_id bigint, toxic int")
+    samples = spark.createDataFrame([], "sample_id string, source string, prompt string")
+    few, many = (spark.createDataFrame([(i, "D1", f"{hot} We met.", None) for i in range(n)], "delivery_id bigint, source string, raw_text string, parsed_analysis string") for n in (1, 500))
+    one, same = ({r["score"] for r in harm.score_fields(samples, p, docs, labels).where("field = 'predictions.raw_text'").collect()} for p in (few, many))
+    assert len(one) == 1 and same == one and min(one) > 0.5
