@@ -223,9 +223,9 @@ class Model:
 
 
 def text_language(text: str) -> str:
-    """Script, or for Latin letters the language by function words; '' if unknown."""
-    s = script(text[:2000])
-    return language(re.findall(r"[^\W\d_]+", text[:2000].lower()))[0] if s == "latin" else s
+    """Script, or for Latin letters the language by function words, of the whole text; '' if unknown."""
+    s = script(text)
+    return language(re.findall(r"[^\W\d_]+", text.lower()))[0] if s == "latin" else s
 
 
 def train(examples: list[tuple[str, float, float]], seed: int = 5, epochs: int = EPOCHS) -> Model:

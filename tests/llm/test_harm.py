@@ -74,3 +74,10 @@ def test_frequent_unreviewed_texts_teach_nothing(spark):
     few, many = (spark.createDataFrame([(i, "D1", f"{hot} We met.", None) for i in range(n)], "delivery_id bigint, source string, raw_text string, parsed_analysis string") for n in (1, 500))
     one, same = ({r["score"] for r in harm.score_fields(samples, p, docs, labels).where("field = 'predictions.raw_text'").collect()} for p in (few, many))
     assert len(one) == 1 and same == one and min(one) > 0.5
+
+
+def test_the_language_is_that_of_the_whole_text():
+    german = "Der Fall zeigt, dass die Vorschrift eine Ausnahme zulässt und sich nicht auf das Alter bezieht. "
+    assert harm.text_language("The rule. " + "1 2 3 4 " * 300 + german * 40) == "de"
+    assert harm.text_language("- " * 1500 + german) == "de"
+    assert harm.text_language("The rule of the town. " * 95 + "Правило допускает исключение для возраста. " * 200) == "cyr"
