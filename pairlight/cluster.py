@@ -44,6 +44,36 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit_bytes: int = 8 << 20
     return F.broadcast(df) if df.count() * row_bytes <= limit_bytes else df
 
 
+#: Rows of one key that a task may get; the rows of heavier keys are salted.
+ROWS_A_TASK = 20_000
+#: Heavy keys there can be at most: a heavy key has more than one in so many of all counted rows.
+MOST_HEAVY = 10_000
+
+
+def salted(rows: DataFrame, one: DataFrame, on: list[str], n: str, by: list[str], salt: str = "__salt", rows_a_task: int = ROWS_A_TASK, row_bytes: int = 200, limit_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame, bool]:
+    """Both sides of a join of ``rows`` with ``one``, made ready to meet on ``on`` and ``salt``.
+
+    ``one`` (materialised) has a row for each key and in ``n`` how many of
+    ``rows`` have it. No task then gets more than max(``rows_a_task``, 1/MOST_HEAVY
+    of all counted rows) rows of one key: rows of heavier keys get a salt out of
+    ``by`` and their place, and their row in ``one`` is repeated for each salt. The
+    heavy keys, at most MOST_HEAVY, are broadcast; ``one`` itself only if it
+    measures under ``limit_bytes``. The last value tells whether a key is heavy.
+    """
+    count, total, most = one.agg(F.count(F.lit(1)), F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    limit = max(rows_a_task, -(-int(total) // MOST_HEAVY))
+    heavy = most > limit
+    if heavy:
+        parts = F.ceil(F.col(n) / F.lit(limit)).cast("int")
+        known = F.broadcast(one.where(F.col(n) > limit).select(*on, parts.alias("__parts")))
+        place = F.pmod(F.xxhash64(*by, F.spark_partition_id()), F.col("__parts")).cast("int")
+        rows = rows.join(known, on, "left").withColumn(salt, F.coalesce(place, F.lit(0))).drop("__parts")
+        one = one.withColumn(salt, F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    else:
+        rows, one = rows.withColumn(salt, F.lit(0)), one.withColumn(salt, F.lit(0))
+    return rows, F.broadcast(one) if count * row_bytes <= limit_bytes else one, heavy
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as the cluster runs tasks at once.
 

@@ -3,8 +3,10 @@
 Identifiers are split by their aggregated frequency. Rows whose identifier
 occurs once pass without ranking; only rows of repeated identifiers are ranked,
 and the two results are united. The count is combined map-side, so an
-identifier with a third of all rows costs one partial row a partition, and its
-ranking is done in two levels over salts in proportion to its count.
+identifier with a third of all rows costs one partial row a partition. Rows get
+their salt before they are moved (see :func:`pairlight.cluster.salted`), so its
+rows are ranked in two levels, within salts in proportion to its count and then
+the salts' first rows.
 """
 
 from __future__ import annotations
@@ -15,12 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairlight.cluster import broadcast_if_small, cut
+from pairlight.cluster import cut, salted
 from pairlight.compat import py_strip
 
 #: Rows of one identifier that a single ranking task may get.
 ROWS_A_SALT = 20_000
-_N, _SALT, _RN = "__copies", "__salt", "__rank"
+#: Measured size up to which the list of repeated identifiers is broadcast.
+LIST_BYTES = 8 << 20
+_N, _SALT, _RN, _BEATEN = "__copies", "__salt", "__rank", "__beaten"
 
 
 def policy_key(c: Column | str) -> Column:
@@ -43,34 +47,27 @@ def message_keys(df: DataFrame) -> dict[str, Column]:
     }
 
 
-def _split(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows of single and of repeated identifiers; the latter with their count."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(_N))
-    repeated = cut(counts.where(F.col(_N) > 1))
-    small = broadcast_if_small(repeated, row_bytes=200)
-    single = rows.join(small.select(*keys), list(keys), "left_anti")
-    return single, rows.join(small, list(keys), "inner")
-
+def _split(rows: DataFrame, keys: Sequence[str], limit_bytes: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Rows of single and of repeated identifiers, and whether an identifier is heavy.
 
-def _ranked(rows: DataFrame, keys: Sequence[str], newest: Sequence[Column]) -> DataFrame:
-    """``rows`` with ``__rank``: 1 for the row of each identifier that stays.
-
-    Level one ranks within salts of at most about ROWS_A_SALT rows; level two
-    ranks only the salts' first rows, a handful an identifier.
+    The repeated ones have a salt. The list of repeated identifiers is broadcast
+    while it measures under ``limit_bytes``; beyond, list and rows meet by a
+    shuffle on identifier and salt, on which the first ranking goes on.
     """
-    salts = F.ceil(F.col(_N) / F.lit(ROWS_A_SALT))
-    salted = rows.withColumn(_SALT, F.when(salts > 1, F.pmod(F.xxhash64("received_at", "delivery_id"), salts)).otherwise(F.lit(0)))
-    first = salted.withColumn(_RN, F.row_number().over(Window.partitionBy(*keys, _SALT).orderBy(*newest)))
-    beaten = first.where(F.col(_RN) > 1)
-    finals = first.where(F.col(_RN) == 1).withColumn(_RN, F.row_number().over(Window.partitionBy(*keys).orderBy(*newest)))
-    return finals.unionByName(beaten)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(_N))
+    repeated = cut(counts.where(F.col(_N) > 1))
+    mine, known, heavy = salted(rows, repeated, list(keys), _N, ["received_at", "delivery_id"], _SALT, ROWS_A_SALT, limit_bytes=limit_bytes)
+    known = known.select(*keys, _SALT)
+    on = [*keys, _SALT]
+    return mine.join(known, on, "left_anti"), mine.join(known, on, "inner"), heavy
 
 
-def _newest(rows: DataFrame) -> list[Column]:
-    return [rows["received_at"].desc_nulls_last(), rows["delivery_id"].desc_nulls_last()]
+def _rank(rows: DataFrame, by: Sequence[str | Column]) -> DataFrame:
+    newest = [rows["received_at"].desc_nulls_last(), rows["delivery_id"].desc_nulls_last()]
+    return rows.withColumn(_RN, F.row_number().over(Window.partitionBy(*by).orderBy(*newest)))
 
 
-def surplus_rows(df: DataFrame) -> DataFrame:
+def surplus_rows(df: DataFrame, limit_bytes: int = LIST_BYTES) -> DataFrame:
     """``delivery_id`` of every row that is not the kept copy of its message.
 
     Kept is the row with the latest ``received_at``, then the greatest
@@ -80,12 +77,17 @@ def surplus_rows(df: DataFrame) -> DataFrame:
     """
     keys = message_keys(df)
     rows = df.select(*[c.alias(n) for n, c in keys.items()], "received_at", "delivery_id")
-    _, repeated = _split(rows, list(keys))
-    ranked = _ranked(repeated, list(keys), _newest(repeated))
-    return ranked.where(F.col(_RN) > 1).select("delivery_id")
+    _, repeated, heavy = _split(rows, list(keys), limit_bytes)
+    ranked = _rank(repeated, [*keys, _SALT])
+    if heavy:  # the salts' first rows meet once more, the beaten ones stay where they are
+        first = F.col(_RN) == 1
+        ranked = _rank(ranked.withColumns({_BEATEN: ~first, _SALT: F.when(first, F.lit(-1)).otherwise(F.col(_SALT))}), [*keys, _SALT]).where(F.col(_BEATEN) | (F.col(_RN) > 1))
+    else:
+        ranked = ranked.where(F.col(_RN) > 1)
+    return ranked.select("delivery_id")
 
 
-def keep_one(df: DataFrame, new: DataFrame | None = None) -> DataFrame:
+def keep_one(df: DataFrame, new: DataFrame | None = None, limit_bytes: int = LIST_BYTES) -> DataFrame:
     """The kept copy of every message of ``df``, and of ``new`` if given, whole rows.
 
     ``df`` may be the result of an earlier call (the stored messages); with the
@@ -95,6 +97,8 @@ def keep_one(df: DataFrame, new: DataFrame | None = None) -> DataFrame:
     everything = df if new is None else df.unionByName(new.select(*df.columns))
     keys = message_keys(everything)
     rows = everything.withColumns(keys)
-    single, repeated = _split(rows, list(keys))
-    kept = _ranked(repeated, list(keys), _newest(repeated)).where(F.col(_RN) == 1)
+    single, repeated, heavy = _split(rows, list(keys), limit_bytes)
+    kept = _rank(repeated, [*keys, _SALT]).where(F.col(_RN) == 1)
+    if heavy:
+        kept = _rank(kept.drop(_RN), keys).where(F.col(_RN) == 1)
     return single.select(*df.columns).unionByName(kept.select(*df.columns))

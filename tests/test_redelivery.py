@@ -82,3 +82,35 @@ def test_empty_table(spark):
 def test_rows_that_agree_in_everything_leave_one(spark):
     df = spark.createDataFrame([ROWS[0]] * 3, SCHEMA)
     assert redelivery.keep_one(df).count() == 1
+
+
+@pytest.mark.parametrize("limit_bytes", [0, 1 << 20])
+def test_a_third_of_all_rows_spreads_whether_the_list_is_broadcast_or_not(spark, monkeypatch, limit_bytes):
+    monkeypatch.setattr(redelivery, "ROWS_A_SALT", 40)
+    rows = [(i, at(i % 17), "m", "hot" if i % 3 == 0 else f"s{i // 2}", "p", "x", 0) for i in range(1200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    surplus = redelivery.surplus_rows(df, limit_bytes)
+    assert ids(surplus) == brute(rows)
+    assert ids(redelivery.keep_one(df, limit_bytes=limit_bytes)) == sorted(set(range(1200)) - set(brute(rows)))
+
+
+def test_beyond_the_broadcast_rows_move_by_identifier_and_salt(spark, monkeypatch):
+    monkeypatch.setattr(redelivery, "ROWS_A_SALT", 1000)
+    df = spark.range(60_000).selectExpr(
+        "id AS delivery_id", "timestamp_seconds(id) AS received_at", "'m' AS model_id", "IF(id % 3 = 0, 'hot', concat('s', id div 2)) AS sample_id", "'p' AS policy_id", "'x' AS raw_text", "id AS delivery"
+    )
+    keys = list(redelivery.message_keys(df))
+    rows = df.select(*[c.alias(n) for n, c in redelivery.message_keys(df).items()], "received_at", "delivery_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, repeated, heavy = redelivery._split(rows, keys, 0)
+        plan = repeated._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert heavy
+    moves = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x]
+    assert sum("__salt" in x for x in moves) >= 2  # both sides of the join
+    sizes = [r[0] for r in repeated.where("__sample = '=hot'").groupBy("__salt").count().select("count").collect()]
+    assert sum(sizes) == 20_000 and len(sizes) == 20 and max(sizes) < 1500
+    assert redelivery.surplus_rows(df, 0).count() == 60_000 - df.select("sample_id").distinct().count()
