@@ -100,3 +100,40 @@ def test_edges(spark):
     assert {r["new_split"] for r in splits.assign_splits(one, targets).collect()} == {"train"}
     with pytest.raises(ValueError):
         splits.assign_splits(one, targets.where("split = 'odd'"))
+
+
+def test_records_without_keys_bind_nobody(spark):
+    rows = [(None, "train", None), (None, "test", '{"author": "unknown"}'), ("twice", "train", None), ("twice", "test", "{}"), ("", "val", None), ("one", "test", None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert splits.divided_records(df).count() == 0
+    assert splits.record_components(df).select("component").distinct().count() == len(rows)
+    related = spark.createDataFrame([(None, "train", '{"author": "a"}'), (None, "test", '{"annotator": " A"}'), ("x", None, '{"author": {"id": "a"}}'), ("y", "test", '{"author": "b"}')], SCHEMA)
+    assert sorted(str(r[0]) for r in splits.divided_records(related).collect()) == ["None", "None", "x"]
+
+
+def test_salted_joins_give_the_same(spark, monkeypatch):
+    rows = some_rows(120, 6, hot=0.4)
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(r[0] for r in splits.divided_records(df).collect())
+    monkeypatch.setattr(splits, "ROWS_A_TASK", 5)
+    assert sorted(r[0] for r in splits.divided_records(df).collect()) == want
+    parts = {}
+    for r in splits.record_components(df).collect():
+        parts.setdefault(bytes(r["component"]), set()).add(r["sample_id"])
+    assert sorted(map(sorted, parts.values())) == sorted(sorted(s for s, _ in g) for g in groups(rows))
+
+
+def test_a_record_with_very_many_keys_loses_no_link(spark):
+    many = json.dumps({"entities": [f"e{i}" for i in range(3000)]})
+    df = spark.createDataFrame([("a", "train", many), ("b", "test", '{"entity": "e2999"}'), ("c", "test", '{"entity": "e1"}')], SCHEMA)
+    assert {r[0] for r in splits.divided_records(df).collect()} == {"a", "b", "c"}
+
+
+def test_one_rule_for_components_of_all_sizes(spark):
+    sizes = spark.range(4000).selectExpr("id AS h", "IF(id = 0, 900, 1) AS n")
+    shares = {"train": 0.8, "val": 0.1, "test": 0.1}
+    total = sizes.selectExpr("sum(n)").first()[0]
+    attempt, w = splits.fitted_weights(sizes, shares, "17")
+    got = {r[0]: r[1] / total for r in sizes.groupBy(splits._chosen(F.col("h"), w, attempt, "17").alias("s")).agg(F.sum("n")).collect()}
+    assert all(abs(got[s] - x) < 0.005 for s, x in shares.items())
+    assert splits.fitted_weights(sizes, shares, "17", passes=0) == (0, shares)
