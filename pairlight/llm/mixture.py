@@ -4,12 +4,13 @@ Every source gets its share of the total size in tokens. The copies of a text
 are its source's size factor: a whole number plus a fraction that is a
 probability of one copy more. Pivotal rounding makes the fractions whole: two
 texts of one source exchange mass, so that the tokens in expectation stay the
-same, until one of them is 0 or 1. Each partition does this in one pass with one
-open text a source; the open texts of all partitions go through a reduction
-tree. At the end of each source one text at most is decided by its probability
-alone. Texts are rounded in classes of size, the largest first, and each class
-makes up what the larger ones missed, so a source misses its share by less than
-one text of twice its mean size.
+same, until one of them is 0 or 1. A text of more than LARGE mean sizes, which
+would leave a source far from its share if chance alone decided on it at the
+end, exchanges mass with many smaller texts at once, each in proportion. Every
+text is so used with the probability of its source's factor, whatever its size.
+Each partition does this in one pass and leaves a bounded number of open texts a
+source; the open texts of all partitions go through one reduction tree. At its
+end one text a source at most is decided by its probability alone.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlight.cluster import cut
+from pairlight.cluster import cut, spread
 from pairlight.compat import blank_to_null, squeeze
 from pairlight.llm.encode import count_column
 
@@ -29,8 +30,10 @@ from pairlight.llm.encode import count_column
 FAN_IN = 16
 #: Target tables have at most so many rows; more raise ValueError.
 MAX_SOURCES = 10_000
-#: Size classes, in mean sizes of the source, largest first.
-CLASSES = ((8.0, float("inf")), (2.0, 8.0), (0.0, 2.0))
+#: A text of more mean sizes of its source than this is large.
+LARGE = 2.0
+#: Small texts a source and partition that the tree leaves open until its last round.
+RESERVE = 64
 _EDGE = 1e-9
 
 
@@ -39,16 +42,20 @@ def source_key(c: Column | str) -> Column:
     return blank_to_null(F.lower(squeeze(c)))
 
 
-def sized_texts(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """``doc_id``, ``source`` (as compared), ``n_tokens`` of each different text.
+def sized_texts(documents: DataFrame, sources: list[str], tokenizer: str | None = None) -> DataFrame:
+    """``doc_id``, ``source`` (as compared), ``n_tokens`` of each different text of ``sources``.
 
     A text that several documents hold is one text; it is taken from the
     document with the least id that names a source. Null and blank texts and
-    documents without source are left out, since they can fill no share.
+    documents without source are left out, since they can fill no share. Tokens
+    are counted where the texts are read; what is shuffled holds no text.
     """
-    rows = documents.select("doc_id", source_key("source").alias("source"), "text").where(blank_to_null("text").isNotNull() & F.col("source").isNotNull() & F.col("doc_id").isNotNull())
-    first = rows.groupBy(F.md5("text").alias("h"), F.length("text").alias("n")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    return rows.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "source", count_column(tokenizer)("text").alias("n_tokens"))
+    number = F.broadcast(documents.sparkSession.createDataFrame([(s, i) for i, s in enumerate(sources)], "source string, __number int"))
+    rows = spread(documents.select("doc_id", "source", "text")).select("doc_id", source_key("source").alias("source"), "text").where(blank_to_null("text").isNotNull() & F.col("source").isNotNull() & F.col("doc_id").isNotNull())
+    counted = rows.select("doc_id", "source", F.unhex(F.md5("text")).alias("h"), F.length("text").alias("n"), count_column(tokenizer)("text").alias("n_tokens"))
+    numbered = counted.join(number, "source", "left").select("doc_id", "h", "n", "n_tokens", F.coalesce("__number", F.lit(-1)).alias("__number"))
+    first = numbered.groupBy("h", "n", "n_tokens").agg(F.min("doc_id").alias("doc_id"), F.min_by("__number", "doc_id").alias("__number"))
+    return first.join(number, "__number").select("doc_id", "source", "n_tokens")
 
 
 def plan(sizes: dict[str, int], shares: dict[str, float], caps: dict[str, int], total: float | None = None) -> tuple[float, dict[str, float]]:
@@ -86,64 +93,116 @@ def exchange(a: tuple[int, int, float], b: tuple[int, int, float], seed: str) ->
     return (i, w, p), (j, v, q)
 
 
+def exchange_many(a: tuple[int, int, float], others: list[tuple[int, int, float]], seed: str, most: float = 1.0) -> tuple[tuple[int, int, float], list[tuple[int, int, float]]]:
+    """One pivotal step of a text with many others together, each giving or taking in proportion.
+
+    Tokens times probability of all together stay the same and each probability
+    keeps its expectation. The others may have up to ``most`` copies. The text
+    becomes 0 or 1 if they can give and take that much, else they give or take all.
+    """
+    i, w, p = a
+    give = sum(v * q for _, v, q in others)
+    take = sum(v * (most - q) for _, v, q in others)
+    up, down = min((1 - p) * w, give), min(p * w, take)
+    if up + down <= 0:
+        return a, others
+    if _u(seed, i, others[0][0], len(others)) * (up + down) < down:
+        keep = 1 - up / give if give > up else 0.0
+        return (i, w, p + up / w), [(j, v, q * keep) for j, v, q in others]
+    keep = 1 - down / take if take > down else 0.0
+    return (i, w, p - down / w), [(j, v, most - (most - q) * keep) for j, v, q in others]
+
+
 def settled(p: float) -> bool:
     return p < _EDGE or p > 1 - _EDGE
 
 
-_ROW = "doc_id bigint, source string, n_tokens bigint, base bigint, p double"
+_COLUMNS = ["doc_id", "source", "n_tokens", "base", "most", "large", "p"]
+_ROW = "doc_id bigint, source string, n_tokens bigint, base bigint, most bigint, large boolean, p double"
 
 
-def _round(seed: str):
-    """Rounds a partition with one open text a source."""
+def _round(seed: str, last: bool):
+    """Rounds a partition whose rows come by source, large texts first.
+
+    Left open are one large text a source, one small one and RESERVE small ones
+    that wait for the last round. There the large one exchanges mass with all the
+    small ones that are left, within their copies allowed, and one text a source
+    stays open.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, tuple] = {}
+        source: str | None = None
+        most = 0
+        held: dict[bool, tuple[int, int, float]] = {}
+        waiting: list[tuple[int, int, float]] = []
+        bases: dict[int, int] = {}
+        out: list[tuple] = []
+
+        def put(row: tuple[int, int, float], large: bool, p: float) -> None:
+            out.append((row[0], source, row[1], bases.pop(row[0]), most, large, p))
+
+        def chain(row: tuple[int, int, float], large: bool) -> None:
+            other = held.pop(large, None)
+            for x in (row,) if other is None else exchange(other, row, seed):
+                if settled(x[2]):
+                    put(x, large, float(round(x[2])))
+                else:
+                    held[large] = x
+
+        def finish() -> None:
+            small = waiting[:]
+            waiting.clear()
+            if last:
+                if True in held and small:
+                    one, small = exchange_many(held.pop(True), [(d, n, bases[d] + p) for d, n, p in small], seed, float(most))
+                    chain(one, True)
+                    for k, (d, n, c) in enumerate(small):
+                        bases[d] = int(c + _EDGE)
+                        small[k] = (d, n, max(0.0, c - bases[d]))
+                for row in small:
+                    if settled(row[2]):
+                        put(row, False, float(round(row[2])))
+                    else:
+                        chain(row, False)
+                small = []
+                if len(held) == 2:
+                    for large, x in zip((True, False), exchange(held.pop(True), held.pop(False), seed)):
+                        put(x, large, float(round(x[2])) if settled(x[2]) else x[2])
+            for row in small:
+                put(row, False, row[2])
+            for large, row in sorted(held.items()):
+                put(row, large, row[2])
+            held.clear()
+
         for b in batches:
-            out = []
-            for d, s, n, base, p in zip(b["doc_id"], b["source"], b["n_tokens"], b["base"], b["p"]):
-                row = (d, n, p)
+            for d, s, n, base, cap, large, p in zip(*(b[c] for c in _COLUMNS)):
+                if s != source:
+                    finish()
+                    source, most = s, cap
+                bases[d] = base
                 if settled(p) or n <= 0:
-                    out.append((d, s, n, base, float(round(p))))
-                    continue
-                if s in held:
-                    other, other_base = held.pop(s)
-                    x, y = exchange(other, row, seed)
-                    for (i, w, q), c in ((x, other_base), (y, base)):
-                        if settled(q):
-                            out.append((i, s, w, c, float(round(q))))
-                        else:
-                            held[s] = ((i, w, q), c)
+                    put((d, n, p), large, float(round(p)))
+                elif not large and (last or len(waiting) < RESERVE):
+                    waiting.append((d, n, p))
                 else:
-                    held[s] = (row, base)
+                    chain((d, n, p), large)
             if out:
-                yield pd.DataFrame(out, columns=["doc_id", "source", "n_tokens", "base", "p"])
-        if held:
-            yield pd.DataFrame([(r[0], s, r[1], c, r[2]) for s, (r, c) in sorted(held.items())], columns=["doc_id", "source", "n_tokens", "base", "p"])
+                yield pd.DataFrame(out, columns=_COLUMNS)
+                out.clear()
+        finish()
+        if out:
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
     return run
 
 
-def _size_class(ratio: Column) -> Column:
-    c = F.lit(len(CLASSES) - 1)
-    for k, (low, _) in reversed(list(enumerate(CLASSES[:-1]))):
-        c = F.when(ratio > low, F.lit(k)).otherwise(c)
-    return c
-
-
-def _start(texts: DataFrame, factor: dict[str, float]) -> DataFrame:
-    """Whole copies and probability of one more, from the sources' factors."""
-    known = F.broadcast(texts.sparkSession.createDataFrame([(s, float(f)) for s, f in sorted(factor.items())], "source string, factor double"))
-    base = F.floor(F.col("factor") + F.lit(_EDGE))
-    return texts.join(known, "source").select("doc_id", "source", "n_tokens", base.alias("base"), F.greatest(F.col("factor") - base, F.lit(0.0)).alias("p"))
-
-
 def _settle(state: DataFrame, seed: str) -> DataFrame:
     """All rows with p 0 or 1: the reduction tree of pivotal rounds."""
     parts = max(1, state.rdd.getNumPartitions())
     done = []
     open_text = (F.col("p") > _EDGE) & (F.col("p") < 1 - _EDGE)
     while True:
-        rounded = cut(state.sortWithinPartitions("source", "doc_id").mapInPandas(_round(seed), _ROW))
+        rounded = cut(state.sortWithinPartitions("source", F.desc("large"), "doc_id").mapInPandas(_round(seed, parts == 1), _ROW))
         done.append(rounded.where(~open_text))
         if parts == 1:
             last = rounded.where(open_text)  # one text a source at most
@@ -177,28 +236,13 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None
     whole = sum(shares.values()) or 1.0
     shares = {s: w / whole for s, w in shares.items()}
     spark = documents.sparkSession
-    texts = cut(sized_texts(documents, tokenizer).join(F.broadcast(spark.createDataFrame([(s,) for s in sorted(shares)], "source string")), "source", "left_semi"))
-    means = texts.groupBy("source").agg(F.avg("n_tokens").alias("mean"))
-    texts = texts.join(F.broadcast(means), "source").withColumn("class", _size_class(F.col("n_tokens") / F.col("mean")))
-    by_class: dict[tuple[str, int], int] = {(s, k): n for s, k, n in texts.groupBy("source", "class").agg(F.sum("n_tokens")).collect()}
-    sizes: dict[str, int] = {}
-    for (s, _), n in by_class.items():
-        sizes[s] = sizes.get(s, 0) + n
-    _, factor = plan(sizes, shares, caps, total_tokens)
-    missing = {s: f * sizes.get(s, 0) for s, f in factor.items()}
-    left = dict(sizes)
-    done = []
-    for k in range(len(CLASSES)):
-        use = {s: min(max(missing[s] / left[s], 0.0), float(caps[s])) if left.get(s, 0) > 0 else 0.0 for s in factor}
-        rounded = cut(_settle(_start(texts.where(F.col("class") == k), use), seed))
-        done.append(rounded)
-        for s, n in rounded.groupBy("source").agg(F.sum((F.col("base") + F.col("p")) * F.col("n_tokens"))).collect():
-            missing[s] -= n
-            left[s] -= by_class[s, k]
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select("doc_id", "source", "n_tokens", (F.col("base") + F.col("p")).cast("bigint").alias("copies")).where("copies > 0")
+    texts = cut(sized_texts(documents, sorted(shares), tokenizer))
+    sums = {r[0]: (r[1], r[2]) for r in texts.groupBy("source").agg(F.sum("n_tokens"), F.avg("n_tokens")).collect()}
+    _, factor = plan({s: n for s, (n, _) in sums.items()}, shares, caps, total_tokens)
+    known = F.broadcast(spark.createDataFrame([(s, float(f), float(sums[s][1]) if s in sums else 0.0, max(0, caps[s])) for s, f in sorted(factor.items())], "source string, factor double, mean double, most bigint"))
+    base = F.floor(F.col("factor") + F.lit(_EDGE))
+    start = texts.join(known, "source").select("doc_id", "source", "n_tokens", base.alias("base"), "most", (F.col("n_tokens") > LARGE * F.col("mean")).alias("large"), F.greatest(F.col("factor") - base, F.lit(0.0)).alias("p"))
+    return _settle(start, seed).select("doc_id", "source", "n_tokens", (F.col("base") + F.col("p")).cast("bigint").alias("copies")).where("copies > 0")
 
 
 def mixture_shares(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> DataFrame:

@@ -14,6 +14,12 @@ stands unchanged in the other text, moved by at most k words. Training texts
 therefore enter the suffix array at the starts of their pieces, evaluation texts
 at every position, and a common prefix as long as the piece is a hit.
 
+Heads (the first three words of a suffix) that occur on one side only can reveal
+nothing; they are counted first and their suffixes are never written or moved.
+A head with more suffixes than a task should hold is divided into the intervals
+of the pieces that begin with it, so that no cell is unbounded and none is
+repeated more than its smaller side is long.
+
 Spans that many records share (templates) would give too many pairs. Their
 intervals only mark the records, and marked records meet again through their
 rarest words: of two such texts, the k+l rarest words of each share at least l.
@@ -35,7 +41,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlight.cluster import broadcast_if_small, cut, spread
+from pairlight.cluster import broadcast_if_small, cut, salted, spread
 
 #: One word edit is allowed in so many words of the longer text.
 WORDS_AN_EDIT = 8
@@ -43,8 +49,10 @@ WORDS_AN_EDIT = 8
 DEPTH = 7
 #: Words of the shortest run that counts as covered; no shorter piece ever did.
 SPAN_WORDS = 3
-#: Suffixes of one side that a sorted cell may hold; larger cells are salted.
+#: Suffixes of one side that a sorted cell may hold; heads with more are divided.
 CELL = 20_000
+#: Bits of the table of heads that occur on both sides (8 MB, whatever the corpus); a full table only filters less.
+HEAD_BITS = 1 << 26
 #: An interval or word is written out as pairs while these are at most so many a row.
 PAIRS_A_ROW = 64
 #: Counters of the word frequency table that orders words by rarity (1 MB, whatever the corpus).
@@ -133,7 +141,8 @@ def records(samples: DataFrame) -> DataFrame:
 
 
 def classes(recs: DataFrame) -> DataFrame:
-    return recs.groupBy("c1", "c2").agg(F.min("words").alias("words"), F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_eval"))
+    """The different word sequences: number, words, and how many records of either side have them."""
+    return recs.groupBy("c1", "c2").agg(F.min("words").alias("words"), F.count_if(F.col("train")).alias("n_train"), F.count_if(~F.col("train")).alias("n_eval")).withColumn("cid", F.monotonically_increasing_id())
 
 
 # ---- suffix array ----
@@ -162,63 +171,76 @@ def sketch(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return fold(np.where(high, np.uint64(0), one)), fold(np.where(high, one, np.uint64(0)))
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    data = np.ascontiguousarray(rows).astype(">u4")
-    width = data.shape[1] * 4
-    offsets = np.arange(len(data) + 1, dtype=np.int32) * width
-    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
+#: Suffixes: first words as numbers, two in a long; side, length of the piece, position and words of the text in ``meta``.
+KEY = ("k1", "k2", "k3", "k4")
+SUFFIX = "head bigint, k1 bigint, k2 bigint, k3 bigint, k4 bigint, meta bigint, cid bigint, s1 bigint, s2 bigint"
+_TRAIN, _PIECE, _POS, _LOW = 60, 56, 28, (1 << 28) - 1
+
+
+def _positions(b: pa.RecordBatch) -> dict[str, np.ndarray] | None:
+    """All suffixes of a batch of classes that enter the array."""
+    texts = [w.split(" ") for w in b.column("words").to_pylist()]
+    keep = [i for i, w in enumerate(texts) if len(w) >= DEPTH]
+    if not keep:
+        return None
+    col = {c: b.column(c).to_numpy(zero_copy_only=False)[keep] for c in ("cid", "n_train", "n_eval")}
+    n = np.array([len(texts[i]) for i in keep])
+    flat = np.array([c for i in keep for c in _codes(texts[i])], dtype=np.uint32)
+    start = np.concatenate([[0], np.cumsum(n)[:-1]])
+    s1, s2 = sketch(flat, start)
+    padded = np.zeros(len(flat) + DEPTH * len(keep), dtype=np.uint64)
+    at = start + np.arange(len(keep)) * DEPTH  # where each text begins in padded
+    padded[np.repeat(at - start, n) + np.arange(len(flat))] = flat
+    ev = np.flatnonzero(col["n_eval"])
+    counts = n[ev] - 2
+    tr = np.flatnonzero(col["n_train"])
+    parts = n[tr] // (WORDS_AN_EDIT - 1) + 1
+    own = np.repeat(tr, parts)
+    k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    p = np.repeat(parts, parts)
+    lo, hi = k * n[own] // p, (k + 1) * n[own] // p
+    owner = np.concatenate([np.repeat(ev, counts), own])
+    pos = np.concatenate([np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts), lo])
+    piece = np.concatenate([np.zeros(counts.sum(), dtype=int), hi - lo])
+    train = np.arange(len(owner)) >= counts.sum()
+    first = at[owner] + pos
+    w = [padded[first + j] for j in range(3)]
+    head = (w[0] << np.uint64(32)) ^ (w[1] * np.uint64(0x9E3779B97F4A7C15)) ^ (w[2] * np.uint64(0xC2B2AE3D27D4EB4F))
+    return {"head": head, "first": first, "padded": padded, "owner": owner, "pos": pos, "piece": piece, "train": train, "n": n, "cid": col["cid"], "s1": s1, "s2": s2}
+
+
+def _head_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if (x := _positions(b)) is not None:
+            heads, inverse = np.unique(x["head"], return_inverse=True)
+            nt = np.bincount(inverse, weights=x["train"], minlength=len(heads)).astype(np.int64)
+            ne = np.bincount(inverse, minlength=len(heads)).astype(np.int64) - nt
+            yield pa.RecordBatch.from_arrays([pa.array(heads.view(np.int64)), pa.array(nt), pa.array(ne)], names=["head", "nt", "ne"])
+
 
+def _suffixes(table):
+    """Writes the suffixes whose head the table (broadcast) knows."""
 
-SUFFIX = "head bigint, key binary, train boolean, piece int, pos int, n int, c1 bigint, c2 bigint, s1 bigint, s2 bigint"
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = table.value
+        for b in batches:
+            if (x := _positions(b)) is None:
+                continue
+            slot = x["head"] & np.uint64(len(bits) * 64 - 1)
+            use = np.flatnonzero((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
+            for i in range(0, len(use), 50_000):
+                u = use[i : i + 50_000]
+                o, first, padded = x["owner"][u], x["first"][u], x["padded"]
+                w = [padded[first + j] for j in range(DEPTH)] + [np.zeros(len(u), np.uint64)]
+                keys = [((w[2 * j] << np.uint64(32)) | w[2 * j + 1]).view(np.int64) for j in range(4)]
+                meta = (x["train"][u].astype(np.int64) << _TRAIN) | (x["piece"][u].astype(np.int64) << _PIECE) | (x["pos"][u].astype(np.int64) << _POS) | x["n"][o].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x["head"][u].view(np.int64), *keys, meta, x["cid"][o], x["s1"][o], x["s2"][o])], names=["head", *KEY, "meta", "cid", "s1", "s2"])
 
+    return emit
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = [w.split(" ") for w in b.column("words").to_pylist()]
-        keep = [i for i, w in enumerate(texts) if len(w) >= DEPTH]
-        if not keep:
-            continue
-        col = {c: b.column(c).to_numpy(zero_copy_only=False)[keep] for c in ("c1", "c2", "in_train", "in_eval")}
-        n = np.array([len(texts[i]) for i in keep])
-        flat = np.array([c for i in keep for c in _codes(texts[i])], dtype=np.uint32)
-        start = np.concatenate([[0], np.cumsum(n)[:-1]])
-        s1, s2 = sketch(flat, start)
-        padded = np.zeros(len(flat) + DEPTH * len(keep), dtype=np.uint32)
-        at = start + np.arange(len(keep)) * DEPTH  # where each text begins in padded
-        where = np.repeat(at - start, n) + np.arange(len(flat))
-        padded[where] = flat
-        window = np.lib.stride_tricks.sliding_window_view(padded, DEPTH)
-        owner, pos, piece, train = [], [], [], []
-        ev = np.flatnonzero(col["in_eval"])
-        counts = n[ev] - 2
-        owner.append(np.repeat(ev, counts))
-        pos.append(np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
-        piece.append(np.zeros(counts.sum(), dtype=int))
-        train.append(np.zeros(counts.sum(), dtype=bool))
-        tr = np.flatnonzero(col["in_train"])
-        parts = n[tr] // (WORDS_AN_EDIT - 1) + 1
-        own = np.repeat(tr, parts)
-        k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        p = np.repeat(parts, parts)
-        lo, hi = k * n[own] // p, (k + 1) * n[own] // p
-        owner.append(own)
-        pos.append(lo)
-        piece.append(hi - lo)
-        train.append(np.ones(len(own), dtype=bool))
-        owner, pos, piece, train = map(np.concatenate, (owner, pos, piece, train))
-        keys = window[at[owner] + pos]
-        head = (keys[:, 0].astype(np.uint64) << np.uint64(32)) ^ (keys[:, 1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (keys[:, 2].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        for i in range(0, len(owner), 50_000):
-            o = slice(i, i + 50_000)
-            w = owner[o]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(head[o].view(np.int64)), _binary(keys[o]), pa.array(train[o]), pa.array(piece[o].astype(np.int32)), pa.array(pos[o].astype(np.int32)), pa.array(n[w].astype(np.int32)), pa.array(col["c1"][w]), pa.array(col["c2"][w]), pa.array(s1[w]), pa.array(s2[w])],
-                names=["head", "key", "train", "piece", "pos", "n", "c1", "c2", "s1", "s2"],
-            )
-
-
-#: kind 0: candidate pair (train class, evaluation class); 1: marked class.
-HIT = "kind int, train boolean, t1 bigint, t2 bigint, e1 bigint, e2 bigint"
+
+#: kind 0: candidate pair (training class, evaluation class); 1: marked class, in t.
+HIT = "kind int, train boolean, t bigint, e bigint"
 
 
 def close(n_a, n_b, s1_a, s1_b, s2_a, s2_b):
@@ -229,23 +251,26 @@ def close(n_a, n_b, s1_a, s1_b, s2_a, s2_b):
     return (np.abs(n_a - n_b) <= k) & (bits(s1_a, s1_b) + bits(s2_a, s2_b) <= 2 * k)
 
 
-def _hits(buf: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _hits(buf: dict[str, np.ndarray], pairs_a_row: int) -> Iterator[pa.RecordBatch]:
     """Hits of whole cells whose suffixes are sorted."""
-    key, cell = buf["key"], buf["cell"]
-    if not len(key):
+    cell, meta, cid = buf["cell"], buf["meta"], buf["cid"]
+    if not len(cell):
         return
+    half = np.uint64(32)
+    halves = lambda x: (x >> half, x & np.uint64(0xFFFFFFFF))
+    key = np.stack([h for k in KEY for h in halves(buf[k].view(np.uint64))][:DEPTH], axis=1)
     same = np.logical_and.accumulate(key[1:] == key[:-1], axis=1) & (cell[1:] == cell[:-1])[:, None]
     lcp = np.concatenate([[0], same.sum(axis=1)])
-    train = buf["train"]
+    train, piece, pos, n = (meta >> _TRAIN) > 0, (meta >> _PIECE) & 15, (meta >> _POS) & _LOW, meta & _LOW
     evals = np.flatnonzero(~train)
     marked = []
-    for s in np.unique(buf["piece"][train]):
+    for s in np.unique(piece[train]):
         group = np.cumsum(lcp < s)
-        rows = np.flatnonzero(train & (buf["piece"] == s))
+        rows = np.flatnonzero(train & (piece == s))
         size = group[-1] + 1
         nt, ne = np.bincount(group[rows], minlength=size), np.bincount(group[evals], minlength=size)
         both = (nt > 0) & (ne > 0)
-        many = both & (nt * ne > PAIRS_A_ROW * (nt + ne))
+        many = both & (nt * ne > pairs_a_row * (nt + ne))
         few = both & ~many
         marked += [rows[many[group[rows]]], evals[many[group[evals]]]]
         first = np.searchsorted(group[evals], np.arange(size))  # evaluation suffixes of a group are neighbours
@@ -258,28 +283,26 @@ def _hits(buf: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
             c = ne[group[r]]
             t = np.repeat(r, c)
             e = evals[np.repeat(first[group[r]], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)]
-            ok = np.abs(buf["pos"][t] - buf["pos"][e]) <= np.maximum(buf["n"][t], buf["n"][e]) // WORDS_AN_EDIT
+            ok = np.abs(pos[t] - pos[e]) <= np.maximum(n[t], n[e]) // WORDS_AN_EDIT
             t, e = t[ok], e[ok]
-            ok = close(buf["n"][t], buf["n"][e], buf["s1"][t], buf["s1"][e], buf["s2"][t], buf["s2"][e])
-            ok &= (buf["c1"][t] != buf["c1"][e]) | (buf["c2"][t] != buf["c2"][e])
+            ok = close(n[t], n[e], buf["s1"][t], buf["s1"][e], buf["s2"][t], buf["s2"][e]) & (cid[t] != cid[e])
             t, e = t[ok], e[ok]
             if len(t):
-                yield _hit_batch(0, np.ones(len(t), bool), buf["c1"][t], buf["c2"][t], buf["c1"][e], buf["c2"][e])
+                yield _hit_batch(0, np.ones(len(t), bool), cid[t], cid[e])
             begin = end
     if marked and len(m := np.unique(np.concatenate(marked))):
-        both = np.unique(np.stack([buf["train"][m].astype(np.int64), buf["c1"][m], buf["c2"][m]], axis=1), axis=0)
-        yield _hit_batch(1, both[:, 0].astype(bool), both[:, 1], both[:, 2], None, None)
+        both = np.unique(np.stack([train[m].astype(np.int64), cid[m]], axis=1), axis=0)
+        yield _hit_batch(1, both[:, 0].astype(bool), both[:, 1], None)
 
 
-def _hit_batch(kind, train, t1, t2, e1, e2) -> pa.RecordBatch:
+def _hit_batch(kind, train, t, e) -> pa.RecordBatch:
     n = len(train)
-    long = lambda x: pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(train), long(t1), long(t2), long(e1), long(e2)], names=["kind", "train", "t1", "t2", "e1", "e2"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(train), pa.array(t, pa.int64()), pa.nulls(n, pa.int64()) if e is None else pa.array(e, pa.int64())], names=["kind", "train", "t", "e"])
 
 
-def _cells():
+def _cells(cell: int, pairs_a_row: int):
     """Reader of a sorted partition: gathers whole cells, a few ten thousand suffixes at a time."""
-    names = ("cell", "train", "piece", "pos", "n", "c1", "c2", "s1", "s2")
+    names = ("cell", *KEY, "meta", "cid", "s1", "s2")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
@@ -288,47 +311,79 @@ def _cells():
             if not b.num_rows:
                 continue
             part = {c: b.column(c).to_numpy(zero_copy_only=False) for c in names}
-            k = b.column("key")
-            raw = np.frombuffer(k.buffers()[2], dtype=">u4", count=b.num_rows * DEPTH, offset=np.frombuffer(k.buffers()[1], np.int32, 1, k.offset * 4)[0])
-            part["key"] = raw.reshape(-1, DEPTH).astype(np.uint32)
             held.append(part)
             rows += b.num_rows
-            if rows >= 2 * CELL and held[0]["cell"][0] != part["cell"][-1]:
-                whole = {c: np.concatenate([h[c] for h in held]) for c in (*names, "key")}
+            if rows >= 2 * cell and held[0]["cell"][0] != part["cell"][-1]:
+                whole = {c: np.concatenate([h[c] for h in held]) for c in names}
                 cut_at = int(np.flatnonzero(whole["cell"] != whole["cell"][-1])[-1]) + 1
-                yield from _hits({c: v[:cut_at] for c, v in whole.items()})
+                yield from _hits({c: v[:cut_at] for c, v in whole.items()}, pairs_a_row)
                 held = [{c: v[cut_at:] for c, v in whole.items()}]
                 rows = len(held[0]["cell"])
         if held:
-            yield from _hits({c: np.concatenate([h[c] for h in held]) for c in (*names, "key")})
+            yield from _hits({c: np.concatenate([h[c] for h in held]) for c in names}, pairs_a_row)
 
     return read
 
 
+def _head_table(kept: DataFrame) -> np.ndarray:
+    """One bit for each head that occurs on both sides, by its last bits; of fixed size."""
+    slot = F.col("head").bitwiseAND(F.lit(HEAD_BITS - 1))
+    words = kept.where("nt > 0 and ne > 0").groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(head & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(HEAD_BITS // 64, dtype=np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _divided(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells and marked classes of suffixes whose head has too many of them.
+
+    Each interval of a piece is a cell of its own: a training suffix goes to the
+    interval of its piece, an evaluation suffix to one for each length of pieces.
+    Intervals of one side are dropped, those with too many pairs only mark their
+    classes; of any other, one side is small and is repeated for the salts of the
+    other.
+    """
+    train = F.shiftright("meta", _TRAIN) > 0
+    piece = F.shiftright("meta", _PIECE).bitwiseAND(F.lit(15)).cast("int")
+    rows = rows.withColumn("s", F.explode(F.when(train, F.array(piece)).otherwise(F.array(*[F.lit(k) for k in range(3, DEPTH + 1)]))))
+    s, high = F.col("s"), lambda k: F.shiftright(k, 32)
+    first = (F.when(s >= 4, F.col("k2")).otherwise(high("k2")), F.when(s >= 6, F.col("k3")).when(s == 5, high("k3")).otherwise(F.lit(0)), F.when(s >= 7, F.col("k4")).otherwise(F.lit(0)))
+    rows = rows.withColumn("cell", F.xxhash64("s", "k1", *first)).drop("s", "head")
+    sizes = rows.groupBy("cell").agg(F.count_if(train).alias("nt"), F.count_if(~train).alias("ne")).where("nt > 0 and ne > 0")
+    sizes = cut(sizes.withColumns({"n": F.col("nt") + F.col("ne"), "many": F.col("nt") * F.col("ne") > PAIRS_A_ROW * (F.col("nt") + F.col("ne"))}))
+    mine, known, _ = salted(rows, sizes, ["cell"], "n", ["cid", "meta"], row_bytes=48)
+    met = cut(mine.join(known.drop("n"), ["cell", "__salt"]))
+    marked = met.where("many").select(F.lit(1).alias("kind"), train.alias("train"), F.col("cid").alias("t"), F.lit(None).cast("bigint").alias("e")).distinct()
+    rt, re = F.ceil(F.col("nt") / CELL).cast("int"), F.ceil(F.col("ne") / CELL).cast("int")
+    mine = F.pmod(F.xxhash64("cid", "meta"), F.when(train, rt).otherwise(re)).cast("int")
+    few = met.where("not many").withColumn("o", F.explode(F.sequence(F.lit(0), F.when(train, re).otherwise(rt) - 1)))
+    cell = F.xxhash64("cell", F.when(train, mine).otherwise(F.col("o")), F.when(train, F.col("o")).otherwise(mine))
+    return few.withColumn("cell", cell).select("cell", *KEY, "meta", "cid", "s1", "s2"), marked
+
+
 def shared_spans(cls: DataFrame) -> DataFrame:
     """Hits of the suffix array (see HIT)."""
-    suffixes = cut(cls.select("c1", "c2", "words", "in_train", "in_eval").mapInArrow(_suffixes, SUFFIX))
-    heads = suffixes.groupBy("head").agg(F.sum(F.col("train").cast("int")).alias("nt"), F.sum((~F.col("train")).cast("int")).alias("ne"))
-    large = cut(
-        heads.where((F.col("nt") > CELL) | (F.col("ne") > CELL))
-        .where((F.col("nt") > 0) & (F.col("ne") > 0))
-        .select("head", F.ceil(F.col("nt") / CELL).cast("int").alias("rt"), F.ceil(F.col("ne") / CELL).cast("int").alias("re"))
-    )
-    own = F.when(F.col("train"), F.col("rt")).otherwise(F.col("re"))
-    other = F.when(F.col("train"), F.col("re")).otherwise(F.col("rt"))
-    mine = F.pmod(F.xxhash64("c1", "c2"), own)
-    placed = (
-        suffixes.join(broadcast_if_small(large, 40), "head", "left")
-        .withColumn("o", F.explode(F.when(F.col("rt").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), other - 1))))
-        .withColumn("cell", F.when(F.col("rt").isNull(), F.col("head")).otherwise(F.xxhash64("head", F.when(F.col("train"), mine).otherwise(F.col("o")), F.when(F.col("train"), F.col("o")).otherwise(mine))))
-        .drop("o", "rt", "re", "head")
-    )
-    return placed.repartition("cell").sortWithinPartitions("cell", "key").mapInArrow(_cells(), HIT)
+    texts = cls.select("cid", "words", "n_train", "n_eval")
+    heads = texts.mapInArrow(_head_counts, "head bigint, nt bigint, ne bigint").groupBy("head").agg(F.sum("nt").alias("nt"), F.sum("ne").alias("ne"))
+    hot = (F.col("nt") > CELL) | (F.col("ne") > CELL)
+    kept = cut(heads.where((F.col("nt") > 0) & (F.col("ne") > 0) | hot))
+    table = cls.sparkSession.sparkContext.broadcast(_head_table(kept))
+    suffixes = texts.mapInArrow(_suffixes(table), SUFFIX)
+    large = kept.where(hot).select("head", ((F.col("nt") > 0) & (F.col("ne") > 0)).alias("both"))
+    marked = None
+    if large.isEmpty():
+        placed = suffixes.withColumnRenamed("head", "cell")
+    else:
+        known = suffixes.join(broadcast_if_small(large, 24), "head", "left")
+        few, marked = _divided(known.where("both").drop("both"))
+        placed = known.where("both is null").drop("both").withColumnRenamed("head", "cell").unionByName(few)
+    hits = placed.repartition("cell").sortWithinPartitions("cell", *KEY).mapInArrow(_cells(CELL, PAIRS_A_ROW), HIT)
+    return hits if marked is None else hits.unionByName(marked)
 
 
 # ---- records that only share what many share ----
 
-RARE = "key bigint, train boolean, n int, c1 bigint, c2 bigint, s1 bigint, s2 bigint"
+RARE = "key bigint, train boolean, n int, cid bigint, s1 bigint, s2 bigint"
 
 
 def _frequencies(cls: DataFrame) -> np.ndarray:
@@ -368,7 +423,7 @@ def _rare_keys(level: int, frequency):
             take = lambda c: pa.array(b.column(c).to_numpy(zero_copy_only=False)[who])
             for j in range(0, len(who), 50_000):
                 o = slice(j, j + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[o], pa.int64()), take("train")[o], pa.array(n[who][o].astype(np.int32)), take("c1")[o], take("c2")[o], pa.array(s1[who][o]), pa.array(s2[who][o])], names=["key", "train", "n", "c1", "c2", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[o], pa.int64()), take("train")[o], pa.array(n[who][o].astype(np.int32)), take("cid")[o], pa.array(s1[who][o]), pa.array(s2[who][o])], names=["key", "train", "n", "cid", "s1", "s2"])
 
     return emit
 
@@ -381,14 +436,14 @@ def hash_key(text: str) -> int:
 
 def _meet(keys: DataFrame, extra=None) -> DataFrame:
     """Pairs of a training and an evaluation class with a key in common that can be close."""
-    t = keys.where("train").select("key", *[F.col(c).alias(f"t_{c}") for c in ("n", "c1", "c2", "s1", "s2")])
-    e = keys.where("not train").select("key", *[F.col(c).alias(f"e_{c}") for c in ("n", "c1", "c2", "s1", "s2")])
+    t = keys.where("train").select("key", *[F.col(c).alias(f"t_{c}") for c in ("n", "cid", "s1", "s2")])
+    e = keys.where("not train").select("key", *[F.col(c).alias(f"e_{c}") for c in ("n", "cid", "s1", "s2")])
     k = F.floor(F.greatest("t_n", "e_n") / WORDS_AN_EDIT)
     near = (F.abs(F.col("t_n") - F.col("e_n")) <= k) & (F.bit_count(F.col("t_s1").bitwiseXOR(F.col("e_s1"))) + F.bit_count(F.col("t_s2").bitwiseXOR(F.col("e_s2"))) <= 2 * k)
-    near &= (F.col("t_c1") != F.col("e_c1")) | (F.col("t_c2") != F.col("e_c2"))
+    near &= F.col("t_cid") != F.col("e_cid")
     if extra is not None:
         near &= extra
-    return t.join(e, (t["key"] == e["key"]) & near).select(F.col("t_c1").alias("t1"), F.col("t_c2").alias("t2"), F.col("e_c1").alias("e1"), F.col("e_c2").alias("e2")).distinct()
+    return t.join(e, (t["key"] == e["key"]) & near).select(F.col("t_cid").alias("t"), F.col("e_cid").alias("e")).distinct()
 
 
 def _marked_pairs(marked: DataFrame, cls: DataFrame) -> DataFrame:
@@ -396,24 +451,25 @@ def _marked_pairs(marked: DataFrame, cls: DataFrame) -> DataFrame:
     spark = cls.sparkSession
     frequency = spark.sparkContext.broadcast(_frequencies(cls))
     slots = F.transform(F.split("words", " "), lambda w: F.pmod(F.xxhash64(w), F.lit(FREQUENCY_SLOTS)).cast("int"))
-    left = cut(marked.join(cls.select("c1", "c2", "words"), ["c1", "c2"]).select("c1", "c2", "train", "words", slots.alias("slots")))
+    left = cut(marked.join(cls.select("cid", "words"), "cid").select("cid", "train", "words", slots.alias("slots")))
     found = []
     for level in (1, 2, 3):
         keys = cut(left.mapInArrow(_rare_keys(level, frequency), RARE))
         if level == 3:
             found.append(_meet(keys))
             break
-        sizes = keys.groupBy("key").agg(F.sum(F.col("train").cast("long")).alias("nt"), F.sum((~F.col("train")).cast("long")).alias("ne")).where((F.col("nt") > 0) & (F.col("ne") > 0))
+        sizes = keys.groupBy("key").agg(F.count_if(F.col("train")).alias("nt"), F.count_if(~F.col("train")).alias("ne")).where((F.col("nt") > 0) & (F.col("ne") > 0))
         many = F.col("nt") * F.col("ne") > PAIRS_A_ROW * (F.col("nt") + F.col("ne"))
-        sized = cut(keys.join(sizes.select("key", many.alias("many")), "key"))
+        mine, known, _ = salted(keys, cut(sizes.select("key", many.alias("many"), (F.col("nt") + F.col("ne")).alias("all"))), ["key"], "all", ["cid"], row_bytes=24)
+        sized = cut(mine.join(known.drop("all"), ["key", "__salt"]).drop("__salt"))
         found.append(_meet(sized.where(~F.col("many"))))
         often = sized.where("many")
         if level == 1:
             found.append(_meet(often, (F.col("t_n") > LONG_WORDS) | (F.col("e_n") > LONG_WORDS)))
-        often = cut(often.where(F.col("n") <= LONG_WORDS).select("c1", "c2", "train").distinct())
+        often = cut(often.where(F.col("n") <= LONG_WORDS).select("cid", "train").distinct())
         if often.isEmpty():
             break
-        left = cut(left.join(often, ["c1", "c2", "train"], "left_semi"))
+        left = cut(left.join(often, ["cid", "train"], "left_semi"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -424,21 +480,28 @@ def _marked_pairs(marked: DataFrame, cls: DataFrame) -> DataFrame:
 
 
 def _class_pairs(cls: DataFrame) -> DataFrame:
-    """(t1, t2, e1, e2): training and evaluation classes within the allowed edits, equal ones included."""
+    """(t, e): training and evaluation classes within the allowed edits, equal ones included."""
     hits = cut(shared_spans(cls))
-    marked = hits.where("kind = 1").select(F.col("t1").alias("c1"), F.col("t2").alias("c2"), "train").distinct()
-    pairs = hits.where("kind = 0").select("t1", "t2", "e1", "e2").unionByName(_marked_pairs(marked, cls)).distinct()
+    marked = hits.where("kind = 1").select(F.col("t").alias("cid"), "train").distinct()
+    pairs = hits.where("kind = 0").select("t", "e")
+    if not marked.isEmpty():
+        pairs = pairs.unionByName(_marked_pairs(marked, cls))
 
     @F.pandas_udf("boolean")
     def confirmed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
             yield pd.Series([within(x := p.split(" "), y := q.split(" "), allowed(len(x), len(y))) for p, q in zip(a, b)], dtype=bool)
 
-    text = cls.select("c1", "c2", "words")
-    both = pairs.join(text.toDF("t1", "t2", "tw"), ["t1", "t2"]).join(text.toDF("e1", "e2", "ew"), ["e1", "e2"])
-    near = both.where(confirmed("tw", "ew")).select("t1", "t2", "e1", "e2")
-    same = cls.where("in_train and in_eval").select(F.col("c1").alias("t1"), F.col("c2").alias("t2"), F.col("c1").alias("e1"), F.col("c2").alias("e2"))
-    return near.unionByName(same)
+    text = cls.select("cid", "words")
+    both = pairs.distinct().join(text.toDF("t", "tw"), "t").join(text.toDF("e", "ew"), "e")
+    near = both.where(confirmed("tw", "ew")).select("t", "e")
+    return near.unionByName(cls.where("n_train > 0 and n_eval > 0").select(F.col("cid").alias("t"), F.col("cid").alias("e")))
+
+
+def _with_class(recs: DataFrame, known: DataFrame) -> DataFrame:
+    """Records and what is known of their class; classes with many records are salted. ``known`` is materialised."""
+    mine, known, _ = salted(recs, known, ["c1", "c2"], "n", ["sample_id"], row_bytes=48)
+    return mine.join(known.drop("n"), ["c1", "c2", "__salt"]).drop("__salt")
 
 
 def record_pairs(samples: DataFrame) -> DataFrame:
@@ -451,9 +514,34 @@ def record_pairs(samples: DataFrame) -> DataFrame:
     recs = cut(records(samples))
     cls = cut(classes(recs))
     pairs = cut(_class_pairs(cls))
-    t = recs.where("train").select(F.col("c1").alias("t1"), F.col("c2").alias("t2"), F.col("sample_id").alias("train_id"))
-    e = recs.where("not train").select(F.col("c1").alias("e1"), F.col("c2").alias("e2"), F.col("sample_id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("source").alias("eval_source"))
-    return pairs.join(t, ["t1", "t2"]).join(e, ["e1", "e2"]).select("train_id", "eval_id", "eval_split", "eval_source")
+    t = pairs.select("t").distinct().join(cls.select(F.col("cid").alias("t"), "c1", "c2", F.col("n_train").alias("n")), "t")
+    e = pairs.select("e").distinct().join(cls.select(F.col("cid").alias("e"), "c1", "c2", F.col("n_eval").alias("n")), "e")
+    train = _with_class(recs.where("train").select("c1", "c2", F.col("sample_id").alias("sample_id")), cut(t)).select("t", F.col("sample_id").alias("train_id"))
+    evals = _with_class(recs.where("not train").select("c1", "c2", "sample_id", "split", "source"), cut(e)).select("e", F.col("sample_id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("source").alias("eval_source"))
+    return pairs.join(train, "t").join(evals, "e").select("train_id", "eval_id", "eval_split", "eval_source")
+
+
+def _links(samples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records, classes, and (cid, train, links): for each class with partners the records it is linked to."""
+    recs = cut(records(samples))
+    cls = cut(classes(recs))
+    pairs = cut(_class_pairs(cls))
+    to_train = pairs.join(cls.select(F.col("cid").alias("t"), "n_train"), "t").groupBy(F.col("e").alias("cid")).agg(F.sum("n_train").alias("links")).withColumn("train", F.lit(False))
+    to_eval = pairs.join(cls.select(F.col("cid").alias("e"), "n_eval"), "e").groupBy(F.col("t").alias("cid")).agg(F.sum("n_eval").alias("links")).withColumn("train", F.lit(True))
+    return recs, cls, cut(to_train.unionByName(to_eval))
+
+
+def record_links(samples: DataFrame) -> DataFrame:
+    """``sample_id``, ``split``, ``class_id``, ``n_links`` of every record with words and one of the three splits.
+
+    Records with the same words have one class id; n_links counts the records of
+    the other side that are the same or nearly the same. No pair is written out.
+    """
+    recs, cls, links = _links(samples)
+    side = lambda train, c: links.where(F.col("train") == train).select("cid", F.col("links").alias(c))
+    known = cut(cls.select("cid", "c1", "c2", (F.col("n_train") + F.col("n_eval")).alias("n")).join(side(True, "of_train"), "cid", "left").join(side(False, "of_eval"), "cid", "left").drop("cid"))
+    n = F.coalesce(F.when(F.col("train"), F.col("of_train")).otherwise(F.col("of_eval")), F.lit(0))
+    return _with_class(recs.select("c1", "c2", "sample_id", "split", "train"), known).select("sample_id", "split", F.lower(F.concat(F.lpad(F.hex("c1"), 16, "0"), F.lpad(F.hex("c2"), 16, "0"))).alias("class_id"), n.alias("n_links"))
 
 
 def found_pairs(samples: DataFrame) -> DataFrame:
@@ -465,10 +553,14 @@ def found_pairs(samples: DataFrame) -> DataFrame:
 def overlap_report(samples: DataFrame) -> DataFrame:
     """Per split and source: evaluation records, those with an overlap, and pairs.
 
-    Sources are compared trimmed and in upper case; null and blank count as unknown.
+    Sources are compared trimmed and in upper case; null and blank count as
+    unknown. Pairs are counted over classes and never written out.
     """
     name = lambda c: F.coalesce(F.nullif(F.upper(F.trim(F.col(c))), F.lit("")), F.lit("unknown"))
-    hits = record_pairs(samples).groupBy(F.col("eval_split").alias("split"), name("eval_source").alias("source")).agg(F.countDistinct("eval_id").alias("n_overlapping"), F.count(F.lit(1)).alias("n_pairs"))
+    recs, cls, links = _links(samples)
+    known = cut(links.where("not train").select("cid", "links").join(cls.select("cid", "c1", "c2", F.col("n_eval").alias("n")), "cid").drop("cid"))
+    linked = _with_class(recs.where("not train").select("c1", "c2", "sample_id", "split", "source"), known)
+    hits = linked.groupBy("split", name("source").alias("source")).agg(F.countDistinct("sample_id").alias("n_overlapping"), F.sum("links").alias("n_pairs"))
     whole = samples.where(F.col("split").isin("val", "test")).groupBy("split", name("source").alias("source")).agg(F.count(F.lit(1)).alias("n_records"))
     return whole.join(hits, ["split", "source"], "left").select("split", "source", "n_records", F.coalesce("n_overlapping", F.lit(0)).alias("n_overlapping"), F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"))
 
@@ -483,7 +575,7 @@ def span_coverage(samples: DataFrame) -> DataFrame:
     training record has the same words, else not at all.
     """
     recs = cut(records(samples))
-    cls = cut(classes(recs))
+    cls = cut(classes(recs)).withColumns({"in_train": F.col("n_train") > 0, "in_eval": F.col("n_eval") > 0})
     w = F.split("words", " ")
     window = F.arrays_zip(*[F.slice(w, k + 1, F.size(w)).alias(f"w{k}") for k in range(SPAN_WORDS)])
     every = cls.where(F.size(w) >= SPAN_WORDS).select("c1", "c2", "in_train", "in_eval", F.posexplode(window).alias("pos", "window"))
@@ -493,5 +585,5 @@ def span_coverage(samples: DataFrame) -> DataFrame:
     inside = F.transform("spans", lambda at: F.sequence(at, at + SPAN_WORDS - 1))
     merged = spans.groupBy("c1", "c2").agg(F.collect_list("pos").alias("spans")).select("c1", "c2", F.size(F.array_distinct(F.flatten(inside))).alias("covered"))
     n = F.size(F.split("words", " "))
-    per = cls.where("in_eval").join(merged, ["c1", "c2"], "left").select("c1", "c2", n.alias("n_words"), F.when(F.col("in_train"), n).otherwise(F.coalesce("covered", F.lit(0))).alias("n_covered"))
-    return recs.where("not train").select("sample_id", "c1", "c2").join(per, ["c1", "c2"]).select("sample_id", "n_words", "n_covered")
+    per = cls.where("in_eval").join(merged, ["c1", "c2"], "left").select("c1", "c2", F.col("n_eval").alias("n"), n.alias("n_words"), F.when(F.col("in_train"), n).otherwise(F.coalesce("covered", F.lit(0))).alias("n_covered"))
+    return _with_class(recs.where("not train").select("sample_id", "c1", "c2"), cut(per)).select("sample_id", "n_words", "n_covered")

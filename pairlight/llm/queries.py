@@ -32,6 +32,10 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_report(table(spark, folder, "samples"))
 
 
+def p3_links(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.record_links(table(spark, folder, "samples"))
+
+
 def p3_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.span_coverage(table(spark, folder, "samples"))
 
@@ -78,7 +82,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_scores": p2_scores, "p2_rates": p2_rates,
-    "p3_found": p3_found, "p3_report": p3_report, "p3_coverage": p3_coverage,
+    "p3_found": p3_found, "p3_report": p3_report, "p3_links": p3_links, "p3_coverage": p3_coverage,
     "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares,
     "p5_found": p5_found, "p5_labels": p5_labels, "p5_rates": p5_rates,
     "p6_ids": p6_ids,

@@ -64,3 +64,29 @@ def test_what_can_fill_nothing(spark):
     assert mixture.mixture(docs.limit(0), targets).count() == 0
     assert mixture.mixture(docs, targets.limit(0)).count() == 0
     assert docs.select(mixture.source_key(F.lit(" A  b ")).alias("k")).first()["k"] == "a b"
+
+
+def test_exchange_with_many_keeps_mass_and_expectation():
+    r = random.Random(2)
+    for k in range(300):
+        a = (k, r.randint(50, 900), r.uniform(0.01, 0.99))
+        others = [(1000 + i, r.randint(1, 20), r.uniform(0.01, 0.99)) for i in range(r.randint(1, 60))]
+        x, ys = mixture.exchange_many(a, others, "s")
+        assert abs(a[1] * a[2] + sum(w * p for _, w, p in others) - x[1] * x[2] - sum(w * p for _, w, p in ys)) < 1e-6
+        assert mixture.settled(x[2]) or all(mixture.settled(p) for _, _, p in ys)
+        assert all(-1e-9 <= p <= 1 + 1e-9 for p in [x[2], *(p for _, _, p in ys)])
+    others = [(i, 5, 0.4) for i in range(10)]
+    many = [mixture.exchange_many((99, 40, 0.3), others, str(s)) for s in range(4000)]
+    assert abs(sum(x[2] for x, _ in many) / 4000 - 0.3) < 0.02 and abs(sum(ys[3][2] for _, ys in many) / 4000 - 0.4) < 0.02
+
+
+def test_a_text_is_used_by_its_source_factor_whatever_its_size(spark):
+    docs = spark.createDataFrame([(i, "a", " ".join(f"w{i}x{j}" for j in range(120 if i % 10 == 0 else 4))) for i in range(400)] + [(1000 + i, "b", f"t{i}") for i in range(30)], DOC)
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 9)], TARGET)
+    used = {True: 0, False: 0}
+    for seed in ("1", "2", "3"):
+        for r in mixture.mixture(docs, targets, 2400, seed).where("source = 'a'").collect():
+            used[r["doc_id"] % 10 == 0] += r["n_tokens"]
+    whole = {k: sum(n for d, n in ((r["doc_id"], r["n_tokens"]) for r in mixture.sized_texts(docs, ["a"]).collect()) if (d % 10 == 0) == k) for k in (True, False)}
+    share = sum(used.values()) / sum(whole.values()) / 3
+    assert abs(used[True] / whole[True] / 3 - share) < 0.12 and abs(used[False] / whole[False] / 3 - share) < 0.12

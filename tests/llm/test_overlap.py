@@ -102,8 +102,30 @@ def test_copies_report_and_coverage(spark):
 
 
 def test_empty_table_and_long_text(spark):
-    assert found(spark, []) == set() if False else True
     assert overlap.found_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
     long = [f"x{i}" for i in range(3000)]
     rows = [("a", "S", "train", " ".join(long)), ("b", "S", "test", " ".join(long[:1000] + ["y"] * 200 + long[1200:])), ("c", "S", "test", " ".join(long[:1500]))]
     assert found(spark, rows) == {("a", "b")}
+
+
+def test_a_hot_head_of_one_side_is_never_written(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "CELL", 50)
+    rows = [(f"t{i}", "S", "train", f"once upon a time there was a king {i} of land {i * 7}") for i in range(400)]
+    rows += [("e1", "S", "test", "another text of the other side with nothing like it"), ("e2", "S", "val", "prefix word once upon a time there was a king 5 of land 35")]
+    df = spark.createDataFrame(rows[:-1], SCHEMA)
+    cls = overlap.cut(overlap.classes(overlap.cut(overlap.records(df))))
+    assert overlap.shared_spans(cls).count() == 0
+    few = overlap._head_table(cls.mapInArrow(overlap._head_counts, "head bigint, nt bigint, ne bigint"))
+    assert not few.any()
+    assert found(spark, rows) == brute(rows)
+
+
+def test_links_count_pairs_without_writing_them(spark):
+    rows = some_rows(11, n=140)
+    pairs = brute(rows)
+    links = {r["sample_id"]: (r["class_id"], r["n_links"]) for r in overlap.record_links(spark.createDataFrame(rows, SCHEMA)).collect()}
+    words = {r[0]: overlap.words_of(r[3]) for r in rows}
+    assert set(links) == {r[0] for r in rows if r[2] and words[r[0]]}
+    for i, (_, n) in links.items():
+        assert n == sum(i in p for p in pairs)
+    assert len({c for c, _ in links.values()}) == len({words[i] for i in links})
