@@ -63,3 +63,30 @@ def test_documents(spark):
     got = sorted(tuple(r) for r in sentence_units(df).collect())
     assert got == [(1, 0, 2), (1, 0, 4), (1, 5, 9), (4, 0, 150_001)]
     assert sentence_units(df.limit(0)).count() == 0
+
+
+def test_the_document_comes_before_the_lists():
+    assert cut("Everybody likes Max and Max likes them. Yesterday we met Max. He was tired.") == ["Everybody likes Max and Max likes them.", "Yesterday we met Max.", "He was tired."]
+    assert cut("A fig tree grows here. She ate a fig. Then she left.") == ["A fig tree grows here.", "She ate a fig.", "Then she left."]
+    assert cut("See fig. 3 and max. five. The rest is in fig. Two.") == ["See fig. 3 and max. five.", "The rest is in fig. Two."]
+    assert cut("Dr Lee called Dr. Smith. He came.") == ["Dr Lee called Dr. Smith.", "He came."]
+
+
+def test_the_corpus_decides_where_the_document_says_nothing():
+    text = "He told it to me. Then he left. We saw the zq. building."
+    assert [text[a:b] for a, b in units(text, {"me": (900, 1, 0, 900, 0, 50)})] == ["He told it to me.", "Then he left.", "We saw the zq. building."]
+    assert [text[a:b] for a, b in units(text, {"zq": (0, 0, 9, 0, 0, 1)})][-1] == "We saw the zq. building."
+
+
+def test_no_length_bounds_words_or_the_way_back():
+    long = "Donaudampfschifffahrtsgesellschaftskapitänsmützenverordnung" * 3
+    taught = f"Die {long}. ist neu, die {long}. ist alt, und sie kennt {long}. genau."
+    assert cut(taught) == [taught]
+    assert occurrences(taught)[long.lower(), 2] == 3
+    assert cut(f"{' ' * 60}small beginnings here. small again there. Large now.")[0] == "small beginnings here."
+
+
+def test_a_large_corpus_table_is_joined_with_the_same_result(spark):
+    rows = [(i, f"We saw the zq. building {i}. It was Dr. Lee who told me. Then he left, usw. Ein Tag.\n\nsmall start here. The zq. is old; the zq. is new. Max came.", "x") for i in range(30)] + [(40, None, "x"), (41, "He told it to me. Then he saw the zq. Building and the rest. Max is Max. So.", "x"), (1, "me. Max. And a zq. Or so. me and me", "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, known string")
+    assert sorted(map(tuple, sentence_units(df, 0).collect())) == sorted(map(tuple, sentence_units(df).collect()))
