@@ -451,7 +451,7 @@ def _marked_pairs(marked: DataFrame, cls: DataFrame) -> DataFrame:
     spark = cls.sparkSession
     frequency = spark.sparkContext.broadcast(_frequencies(cls))
     slots = F.transform(F.split("words", " "), lambda w: F.pmod(F.xxhash64(w), F.lit(FREQUENCY_SLOTS)).cast("int"))
-    left = cut(marked.join(cls.select("cid", "words"), "cid").select("cid", "train", "words", slots.alias("slots")))
+    left = cut(cls.select("cid", "words").join(broadcast_if_small(cut(marked), 24), "cid").select("cid", "train", "words", slots.alias("slots")))
     found = []
     for level in (1, 2, 3):
         keys = cut(left.mapInArrow(_rare_keys(level, frequency), RARE))
@@ -492,8 +492,10 @@ def _class_pairs(cls: DataFrame) -> DataFrame:
         for a, b in batches:
             yield pd.Series([within(x := p.split(" "), y := q.split(" "), allowed(len(x), len(y))) for p, q in zip(a, b)], dtype=bool)
 
-    text = cls.select("cid", "words")
-    both = pairs.distinct().join(text.toDF("t", "tw"), "t").join(text.toDF("e", "ew"), "e")
+    pairs = cut(pairs.distinct())
+    asked = cut(pairs.select(F.explode(F.array("t", "e")).alias("cid")).distinct())
+    text = cut(cls.select("cid", "words").join(broadcast_if_small(asked, 16), "cid", "left_semi"))
+    both = pairs.join(text.toDF("t", "tw"), "t").join(text.toDF("e", "ew"), "e")
     near = both.where(confirmed("tw", "ew")).select("t", "e")
     return near.unionByName(cls.where("n_train > 0 and n_eval > 0").select(F.col("cid").alias("t"), F.col("cid").alias("e")))
 
