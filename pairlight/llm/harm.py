@@ -4,7 +4,9 @@ Sentences become hashed words; their embeddings go through filters of several
 widths, each filter keeps its maximum over the sentence, and a logistic layer
 joins them. A text scores as its worst sentence. Training uses the seed
 sentences and a bounded sample of reviewed documents; the threshold of each
-language is calibrated on reviewed documents held out.
+language is calibrated on all reviewed documents that are held out, scored whole
+where they lie. A trained model is kept in the shared folder under a hash of what
+it was trained on, and used again.
 
 Scoring is cheap, since a filter of width w over words is a sum of w table rows:
 the products of all embeddings and filters are made once after training.
@@ -12,6 +14,9 @@ the products of all embeddings and filters are made once after training.
 
 from __future__ import annotations
 
+import hashlib
+import io
+import json
 import re
 import unicodedata
 from collections import Counter
@@ -21,10 +26,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlight.cluster import broadcast_if_small, cut, spread
+from pairlight.cluster import broadcast_if_small, checkpoint_dir, cut, spread
 from pairlight.llm import seeds
 from pairlight.llm.defects import language, script
 
@@ -32,8 +38,12 @@ from pairlight.llm.defects import language, script
 
 #: Reviewed documents used for fitting, at most.
 MAX_REVIEWED = 20_000
-#: Characters of one reviewed document that fitting reads, at most; scoring reads whole texts.
-MAX_REVIEW_CHARS = 20_000
+#: Sentences of one reviewed document used for fitting, at most, chosen by hash over the whole text; scoring reads all.
+MAX_SENTENCES = 200
+#: Words, or characters without a blank, in which a longer sentence is divided for fitting.
+RUN_WORDS, RUN_CHARS = 64, 400
+#: Tokens of a training batch, padding included.
+BATCH_TOKENS = 10_240
 #: Clean sentences of reviewed documents used for fitting, at most.
 MAX_CLEAN = 24_000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 20, 16, (1, 2, 3, 4)
@@ -159,6 +169,24 @@ def chunks(text: str) -> list[str]:
     return [s for s in _SPLIT.split(text) if s and _ANY.search(s)]
 
 
+def runs(sentence: str) -> list[str]:
+    """A sentence in runs of at most RUN_WORDS words and RUN_CHARS signs without a blank, for fitting."""
+    words = sentence.split()
+    if len(words) <= RUN_WORDS and len(sentence) <= 8 * RUN_CHARS:
+        return [sentence]
+    words = [w[i : i + RUN_CHARS] for w in words for i in range(0, len(w), RUN_CHARS)]
+    return [" ".join(words[i : i + RUN_WORDS]) for i in range(0, len(words), RUN_WORDS)]
+
+
+def fitting_parts(text: str) -> list[str]:
+    """What fitting reads of a text: all its sentences, or MAX_SENTENCES of them chosen by hash, in order."""
+    parts = [r for s in chunks(text) for r in runs(s)]
+    if len(parts) <= MAX_SENTENCES:
+        return parts
+    chosen = sorted(sorted(range(len(parts)), key=lambda i: (xxhash.xxh64_intdigest(parts[i]), i))[:MAX_SENTENCES])
+    return [parts[i] for i in chosen]
+
+
 # ---- model ----
 
 
@@ -253,20 +281,25 @@ def train(examples: list[tuple[str, float, float]], seed: int = 5, epochs: int =
     last = np.float32(-1.0)
     state = [np.full_like(x, 0.1) for x in (emb, *conv, *bias, out)]
     s_last = np.float32(0.1)
-    longest = np.array([min(len(x), 80) for x in ids])
+    longest = np.array([len(x) for x in ids])
     widest = max(WIDTHS)
     for epoch in range(epochs):
         rate = RATE * (1 - 0.8 * epoch / epochs)
         order = rng.permutation(len(ids))
         order = order[np.argsort(longest[order] // 8, kind="stable")]
-        batches = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
+        batches, begin = [], 0
+        while begin < len(order):  # by length, so the last of a batch tells its size but for a few tokens
+            size = BATCH
+            while size > 1 and longest[order[begin : begin + size]].max() * size > BATCH_TOKENS:
+                size //= 2
+            batches.append(order[begin : begin + size])
+            begin += size
         for k in rng.permutation(len(batches)):
             b = batches[k]
             length = int(longest[b].max()) + widest - 1
             x = np.zeros((len(b), length), dtype=np.int64)
             for i, j in enumerate(b):
-                part = ids[j][:80]
-                x[i, : len(part)] = part
+                x[i, : len(ids[j])] = ids[j]
             e = emb[x]
             keep = (rng.random((len(b), length, 1)) > 0.1).astype(np.float32)
             e = e * keep  # word dropout
@@ -288,7 +321,7 @@ def train(examples: list[tuple[str, float, float]], seed: int = 5, epochs: int =
             g_out = act.T @ g + 1e-4 * out
             g_raw = (g[:, None] * out) * drop * (raw > 0)
             grads_c, grads_b = [], []
-            g_e = np.zeros_like(e)
+            at, back_at = [], []
             who = np.arange(len(b))[:, None]
             for m, (w, c) in enumerate(zip(WIDTHS, conv)):
                 gf = g_raw[:, m * FILTERS : (m + 1) * FILTERS]
@@ -297,12 +330,15 @@ def train(examples: list[tuple[str, float, float]], seed: int = 5, epochs: int =
                 grads_b.append(gf.sum(axis=0))
                 back = gf[:, :, None] * c.T[None]
                 for k2 in range(w):
-                    np.add.at(g_e, (who, args[m] + k2), back[:, :, k2 * DIM : (k2 + 1) * DIM])
-            g_e *= keep
-            flat = x.ravel()
-            u, inv = np.unique(flat, return_inverse=True)
-            g_u = np.zeros((len(u), DIM), dtype=np.float32)
-            np.add.at(g_u, inv, g_e.reshape(-1, DIM))
+                    place = args[m] + k2
+                    at.append(x[who, place].ravel())
+                    back_at.append((back[:, :, k2 * DIM : (k2 + 1) * DIM] * keep[who, place]).reshape(-1, DIM))
+            flat = np.concatenate(at)
+            by = np.argsort(flat, kind="stable")
+            flat = flat[by]
+            begins = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+            u = flat[begins]
+            g_u = np.add.reduceat(np.concatenate(back_at)[by], begins, axis=0)
             g_u[u == 0] = 0
             state[0][u] += g_u * g_u
             emb[u] -= rate * g_u / np.sqrt(state[0][u])
@@ -353,7 +389,18 @@ def trigrams(ids: list[int]) -> set[tuple[int, ...]]:
 
 
 def fit(reviewed: list[tuple[str, int]]) -> Model:
-    """The model from seeds and reviewed texts (text, 1 or 0), thresholds included.
+    """The model from seeds and reviewed texts (text, 1 or 0); one text in HELD_OUT gives the thresholds."""
+    held = [(t, l) for k, (t, l) in enumerate(reviewed) if k % HELD_OUT == 0]
+    model = fit_parts([(fitting_parts(t), l) for k, (t, l) in enumerate(reviewed) if k % HELD_OUT])
+    counts: Counter = Counter()
+    for language_of, label, above in held_out_scores(model, held):
+        counts[language_of, label, above] += 1
+    model.thresholds = calibrate(counts)
+    return model
+
+
+def fit_parts(used: list[tuple[list[str], int]]) -> Model:
+    """The network from seeds and the sentences of reviewed texts (sentences, 1 or 0).
 
     Texts that nobody reviewed are no examples of anything, however many hold them.
 
@@ -365,9 +412,7 @@ def fit(reviewed: list[tuple[str, int]]) -> Model:
     seed = seeds.sentences()
     bits = [fragment(s, k) for k, (s, l, _) in enumerate(seed) if not l]
     base = [(s, float(l), 1.0) for s, l, _ in seed] + [(s, 0.0, 1.0) for s in bits] + [(disguise(s, k * way), 1.0, 1.0) for way in (1, 3) for k, (s, l, _) in enumerate(seed) if l and disguise(s, 0) != s]
-    held = [(t, l) for k, (t, l) in enumerate(reviewed) if k % HELD_OUT == 0]
-    used = [(t, l) for k, (t, l) in enumerate(reviewed) if k % HELD_OUT]
-    clean = [s for t, l in used if not l for s in chunks(t[:MAX_REVIEW_CHARS])]
+    clean = [s for parts, l in used if not l for s in parts]
     often = Counter(clean)
     clean = sorted(often, key=xxhash.xxh64_intdigest)  # each different sentence, shuffled by hash
     heavy = lambda s, w: (s, 0.0, w * min(4.0, 1.0 + float(np.log(often[s]))))
@@ -378,7 +423,7 @@ def fit(reviewed: list[tuple[str, int]]) -> Model:
     for s in clean[: 4 * MAX_CLEAN]:
         for g in trigrams(ids(s)):
             plain[g] += often[s]
-    parts_of = [p for t, l in used if l and (p := chunks(t[:MAX_REVIEW_CHARS]))]
+    parts_of = [parts for parts, l in used if l and parts]
     theirs = Counter(g for p in parts_of for s in p for g in trigrams(ids(s)))
     clean_docs = max(1, sum(not l for _, l in used))
 
@@ -406,50 +451,109 @@ def fit(reviewed: list[tuple[str, int]]) -> Model:
     more = [(s, 1.0, 1.0) for s in abusive for _ in range(again)] + [(disguise(s, k), 1.0, 1.0) for k, s in enumerate(abusive)]
     bits = [(fragment(s, k), 0.0, 1.0) for k, s in enumerate(clean[: MAX_CLEAN // 6])]
     model = train(base + bits + more + [heavy(s, 3.0 if s in near else 1.0) for s in dict.fromkeys(chosen)])
-    model.thresholds = calibrate(model, held)
+    model.thresholds = {"": PRIOR_THRESHOLD}
     model.abusive = abusive
     return model
 
 
-def calibrate(model: Model, held: list[tuple[str, int]]) -> dict[str, float]:
-    """Threshold per language, and for all others under ''.
+def held_out_scores(model: Model, held: list[tuple[str, int]]) -> list[tuple[str, int, int]]:
+    """(language, label, how many thresholds of GRID the score exceeds) of each text, read whole."""
+    scores = model.score_texts([t for t, _ in held])[0] if held else []
+    return [(text_language(t), l, int(np.searchsorted(GRID, float(s), "left"))) for s, (t, l) in zip(scores, held)]
+
+
+def calibrate(counts: dict[tuple[str, int, int], int]) -> dict[str, float]:
+    """Threshold per language, and for all others under ''; from counts of :func:`held_out_scores`.
 
     The best F1 on held-out texts of the language, or the threshold nearest to
     the prior one that is as good within a hundredth; drawn towards the common
     threshold, which is drawn towards one half, by how few abusive texts there are.
     """
 
-    def best(rows: list[tuple[float, int]], prior: float) -> float:
-        n = sum(l for _, l in rows)
-        if not n:
+    def best(rows: list[tuple[int, int, int]], prior: float) -> float:
+        positives = sum(n for l, _, n in rows if l)
+        if not positives:
             return prior
         tried = {}
-        for c in GRID:
-            tp = sum(1 for s, l in rows if l and s > c)
-            tried[c] = 2 * tp / max(1, n + sum(s > c for s, _ in rows))
+        for k, c in enumerate(GRID):
+            tp = sum(n for l, above, n in rows if l and above > k)
+            tried[c] = 2 * tp / max(1, positives + sum(n for _, above, n in rows if above > k))
         top = max(tried.values())
         at = min((c for c, f1 in tried.items() if f1 >= top - 0.01), key=lambda c: abs(c - prior))
-        share = min(1.0, n / ENOUGH)
+        share = min(1.0, positives / ENOUGH)
         return share * at + (1 - share) * prior
 
-    scores = model.score_texts([t for t, _ in held])[0] if held else []
-    rows = [(float(s), l, text_language(t)) for s, (t, l) in zip(scores, held)]
-    common = best([(s, l) for s, l, _ in rows], PRIOR_THRESHOLD)
+    common = best([(l, above, n) for (_, l, above), n in counts.items()], PRIOR_THRESHOLD)
     out = {"": common}
-    for lang in sorted({x for _, _, x in rows}):
-        out[lang] = best([(s, l) for s, l, x in rows if x == lang], common)
+    for lang in sorted({x for x, _, _ in counts}):
+        out[lang] = best([(l, above, n) for (x, l, above), n in counts.items() if x == lang], common)
     return out
 
 
-def reviewed_documents(documents: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """(text, 1 or 0) by the majority of raters, ties as abusive; at most MAX_REVIEWED, chosen by hash.
+# ---- stored models ----
+
 
-    This bounded sample is all of the corpus that comes to the driver.
+def packed(model: Model) -> bytes:
+    """The network without thresholds as plain arrays."""
+    out = io.BytesIO()
+    words = json.dumps([sorted(model.vocabulary.known), model.abusive]).encode()
+    np.savez(out, rows=model.rows, out=model.out, bias=np.array(model.bias), words=np.frombuffer(words, np.uint8), **{f"table{k}": t for k, t in enumerate(model.tables)}, **{f"bias{k}": b for k, b in enumerate(model.biases)})
+    return out.getvalue()
+
+
+def unpacked(data: bytes) -> Model:
+    with np.load(io.BytesIO(data), allow_pickle=False) as z:
+        known, abusive = json.loads(z["words"].tobytes())
+        n = range(len(WIDTHS))
+        return Model(Vocabulary(set(known)), z["rows"], [z[f"table{k}"] for k in n], [z[f"bias{k}"] for k in n], z["out"], float(z["bias"]), {"": PRIOR_THRESHOLD}, abusive)
+
+
+def network(spark: SparkSession, used: list[tuple[list[str], int]]) -> Model:
+    """The network trained on ``used``, from the shared folder if it was trained before."""
+    settings = [MAX_CLEAN, BUCKETS, DIM, FILTERS, WIDTHS, EPOCHS, BATCH, BATCH_TOKENS, RATE, LIFT, seeds.sentences()]
+    key = hashlib.sha256(json.dumps([settings, used]).encode()).hexdigest()
+    path = f"{checkpoint_dir(spark)}/harm-model-{key}"
+    try:
+        return unpacked(bytes(spark.read.schema("data binary").parquet(path).first()["data"]))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    model = fit_parts(used)
+    spark.createDataFrame([(bytearray(packed(model)),)], "data binary").coalesce(1).write.mode("ignore").parquet(path)
+    return model
+
+
+def fitted(documents: DataFrame, labels: DataFrame) -> Model:
+    """The model with thresholds, from all reviews.
+
+    A document's label is the majority of its raters, ties as abusive. One
+    document in HELD_OUT, chosen by hash, is held out: all of these are scored
+    whole in the executors, and only counts by language and score come to the
+    driver. Of the others at most MAX_REVIEWED, chosen by hash, are used for
+    fitting; their sentences are all of the corpus that comes to the driver.
     """
-    votes = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.avg("toxic").alias("share"))
-    sample = broadcast_if_small(cut(votes.orderBy(F.xxhash64("doc_id")).limit(MAX_REVIEWED)), 32)
-    rows = documents.select("doc_id", "text").where("text is not null").join(sample, "doc_id").select("doc_id", F.substring("text", 1, MAX_REVIEW_CHARS).alias("text"), "share").collect()
-    return [(r["text"], int(r["share"] >= 0.5)) for r in sorted(rows, key=lambda r: xxhash.xxh64_intdigest(str(r["doc_id"])))]
+    votes = cut(labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("label")))
+    out = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(HELD_OUT)) == 0
+    texts = documents.select("doc_id", "text").where("text is not null")
+    sample = broadcast_if_small(cut(votes.where(~out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_REVIEWED)), 32)
+
+    @F.pandas_udf("array<string>")
+    def parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield b.map(fitting_parts)
+
+    rows = texts.join(sample, "doc_id").select("doc_id", "label", parts("text").alias("parts")).collect()
+    rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), r["parts"]))
+    model = network(documents.sparkSession, [(list(r["parts"]), r["label"]) for r in rows])
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame(held_out_scores(shared.value, list(zip(b["text"], b["label"]))), columns=["lang", "label", "above"])
+
+    held = spread(texts.join(broadcast_if_small(cut(votes.where(out)), 32), "doc_id").select("text", "label")).mapInPandas(scored, "lang string, label int, above int")
+    model.thresholds = calibrate({(r[0], r[1], r[2]): r[3] for r in held.groupBy("lang", "label", "above").count().collect()})
+    return model
 
 
 # ---- operators ----
@@ -488,7 +592,7 @@ def score_fields(samples: DataFrame, predictions: DataFrame, documents: DataFram
     texts score 0. Every delivered row counts, and texts are read whole.
     """
     spark: SparkSession = documents.sparkSession
-    model = spark.sparkContext.broadcast(fit(reviewed_documents(documents, labels)))
+    model = spark.sparkContext.broadcast(fitted(documents, labels))
     run = scorer(model)
     parts = [
         samples.select(F.col("sample_id").alias("record_key"), "source", F.col("prompt").alias("samples__prompt")),

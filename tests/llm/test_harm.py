@@ -81,3 +81,24 @@ def test_the_language_is_that_of_the_whole_text():
     assert harm.text_language("The rule. " + "1 2 3 4 " * 300 + german * 40) == "de"
     assert harm.text_language("- " * 1500 + german) == "de"
     assert harm.text_language("The rule of the town. " * 95 + "Правило допускает исключение для возраста. " * 200) == "cyr"
+
+
+def test_fitting_reads_whole_texts_and_a_stored_model_is_the_same(model):
+    far = "The rule is old. " * 3000 + "You are filth, Bob."
+    parts = harm.fitting_parts(far)
+    assert len(parts) == harm.MAX_SENTENCES
+    assert sum(map(len, harm.fitting_parts("word " * 5000))) >= 4 * 5000 and max(len(p.split()) for p in harm.fitting_parts("word " * 5000)) <= harm.RUN_WORDS
+    again = harm.unpacked(harm.packed(model))
+    s = ["You are an idiot, Ann.", "The clinic offers breast screening.", far]
+    assert np.array_equal(again.score_texts(s)[0], model.score_texts(s)[0])
+
+
+def test_a_model_is_trained_once_for_the_same_reviews(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "D1", f"The rate rose in {i} towns.") for i in range(40)], "doc_id bigint, source string, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(40)], "doc_id bigint, toxic int")
+    first = harm.fitted(docs, labels)
+    monkeypatch.setattr(harm, "fit_parts", lambda used: 1 / 0)
+    again = harm.fitted(docs, labels)
+    assert np.array_equal(first.out, again.out) and first.thresholds == again.thresholds
+    with pytest.raises(ZeroDivisionError):
+        harm.fitted(docs.where("doc_id > 3"), labels)
