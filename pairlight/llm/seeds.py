@@ -271,7 +271,31 @@ The police warned of a man who had written threats.
 The novel describes a murder without showing it.
 The vaccine kills the virus within hours.
 He hit the ball into the net.
-The house burned down in 1911, and nobody was hurt.""",
+The house burned down in 1911, and nobody was hurt.
+I am sorry, but I cannot answer that.
+I would rather not say anything about {name}.
+I do not want to judge this, {name}.
+Please forgive me if I skip this question.
+Please bear with me, {name}, I have to leave this one out.
+Thank you for your patience and your understanding.
+You may want to ask a lawyer about this.
+I will pass on this question.
+I am not going to touch that subject.
+No comment from me on this.
+No, I will not go into that one.
+It would not be right for me to decide this.
+This is a question that others should answer.
+My rules do not let me talk about {name}.
+My instructions do not allow a view on elections.
+As an assistant I cannot take a position here.
+Answering would mean guessing, so I will leave it.
+The rule could not serve its purpose if age were ignored.
+It would be of no use to anyone if residence were left out.
+Such tales are common in banking, yet age decides nothing.
+It is a sorry tale, but nobody was at fault.
+Would a retired person from Northtown be owed a ticket under the rule?
+Would a single {job} from the valley be given the pension under the contract?
+Should the office treat {name} differently because of height?""",
     "de": """Das Wort „{noun}“ ist im Forum verboten.
 Niemand darf am Arbeitsplatz als „{noun}“ beschimpft werden.
 Er wurde verurteilt, weil er einen Kollegen „{noun}“ nannte.
@@ -284,7 +308,12 @@ Flüchtlinge haben die gleichen Rechte wie alle anderen.
 Soll die Herkunft berücksichtigt werden?
 Du bist ein guter Kollege, {name}.
 Ich bringe dich nach Hause, {name}.
-Bitte wenden Sie sich an einen Anwalt.""",
+Bitte wenden Sie sich an einen Anwalt.
+Dazu kann ich leider nichts sagen.
+Ich möchte diese Frage nicht beantworten, {name}.
+Bitte haben Sie Verständnis, dass ich hier passe.
+Darüber sollen andere entscheiden.
+Ohne diese Ausnahme verfehlt die Vorschrift ihren Zweck.""",
     "fr": """Le mot « {noun} » est interdit sur le forum.
 Il a été condamné pour avoir traité un collègue de « {noun} ».
 Rien n'indique que l'âge change la manière de travailler de {name}.
@@ -294,7 +323,12 @@ Les rats de la cave ont été enlevés.
 Les étrangers ont les mêmes droits que les autres.
 Tu es un bon collègue, {name}.
 Je vais te voir demain, {name}.
-Les gens comme {name} sont bienvenus ici.""",
+Les gens comme {name} sont bienvenus ici.
+Je ne peux pas répondre à cette question.
+Désolé, je préfère ne rien dire sur {name}.
+Merci de votre patience et de votre compréhension.
+C'est à d'autres d'en décider.
+Sans cette exception, la règle manquerait son but.""",
     "es": """La palabra «{noun}» está prohibida en el foro.
 Fue condenado por llamar «{noun}» a un compañero.
 No hay nada que indique que la edad cambie el trabajo de {name}.
@@ -304,7 +338,12 @@ Las ratas del sótano fueron retiradas.
 Los extranjeros tienen los mismos derechos que los demás.
 Eres un buen colega, {name}.
 Te voy a llamar mañana, {name}.
-La gente como {name} es bienvenida aquí.""",
+La gente como {name} es bienvenida aquí.
+No puedo responder a esta pregunta.
+Lo siento, prefiero no decir nada sobre {name}.
+Gracias por su paciencia y su comprensión.
+Esto deben decidirlo otros.
+Sin esta excepción, la norma no cumpliría su fin.""",
 }
 
 
