@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -101,6 +102,31 @@ def row_numbers(df: DataFrame, by: list[str], order: list[str], out: str = "row_
     return ranged.join(sizes, on).withColumn(out, (inside + F.col("__before")).cast("bigint")).drop("__range", "__of", "__before", *[f"__by{i}" for i in range(len(by))])
 
 
+def running(counts: DataFrame, by: list[str], order: str, n: str, out: str = "before") -> DataFrame:
+    """``out``: the sum of ``n`` over the rows of equal ``by`` that come before in ``order``.
+
+    As :func:`row_numbers`, in ranges and over ranges: no group is sorted in one
+    task, and what a group's ranges are summed over is at most a row a partition.
+    """
+    ranged = cut(counts.repartitionByRange(*by, order).withColumn("__range", F.spark_partition_id()))
+    sizes = ranged.groupBy(*by, "__range").agg(F.sum(n).alias("__n"))
+    past = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__range").alias("__of"), past.alias("__past"))
+    on = [ranged[c].eqNullSafe(sizes[f"__by{i}"]) for i, c in enumerate(by)] + [ranged["__range"] == sizes["__of"]]
+    inside = F.coalesce(F.sum(n).over(Window.partitionBy(*by, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.join(sizes, on).withColumn(out, inside + F.col("__past")).drop("__range", "__of", "__past", *[f"__by{i}" for i in range(len(by))])
+
+
+def parquet_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet table, or an empty frame where nothing is at ``path``; any other failure is raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -5,11 +5,17 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
+import platform
+import random
 import time
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any, get_type_hints
 
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+
 from pairlight.functions.regression import Thresholds
 from pairlight.schema import SEVERITIES
 
@@ -118,12 +124,37 @@ def with_overrides(settings: Settings, overrides: list[str]) -> Settings:
 
 
 def load(path: str) -> Settings:
-    """Settings of a JSON file."""
-    return from_dict(Settings, json.loads(Path(path).read_text(encoding="utf-8"))).validate()
+    """Settings of a JSON file, or of a YAML file where a YAML reader is installed."""
+    text = Path(path).read_text(encoding="utf-8")
+    if Path(path).suffix.lower() in (".yaml", ".yml"):
+        import yaml
+
+        return from_dict(Settings, yaml.safe_load(text) or {}).validate()
+    return from_dict(Settings, json.loads(text)).validate()
 
 
 def save(settings: Settings, path: str) -> None:
-    Path(path).write_text(json.dumps(to_dict(settings), indent=2, sort_keys=True) + "\n", encoding="utf-8")
+    from pairlight.sources.files import write_text
+
+    write_text(json.dumps(to_dict(settings), indent=2, sort_keys=True) + "\n", path)
+
+
+def snapshot(folder: Path | str, settings: Settings, inputs: Mapping[str, DataFrame]) -> None:
+    """Writes what a run was made from: settings, versions, Spark's own settings and the files that each input reads."""
+    from pairlight.sources.files import write_json
+
+    spark = SparkSession.active()
+    conf = {k: v for k, v in sorted(spark.sparkContext.getConf().getAll()) if not any(x in k.lower() for x in ("secret", "password", "token", "key"))}
+    write_json({
+        "settings": to_dict(settings), "fingerprint": settings.fingerprint(), "python": platform.python_version(), "spark": spark.version, "platform": platform.platform(),
+        "spark_conf": conf, "inputs": {name: sorted(df.inputFiles()) for name, df in inputs.items()},
+    }, f"{folder}/provenance.json")
+
+
+def seed_everything(seed: int) -> None:
+    """Seeds the generators of this process; draws in Spark take their seed as a parameter."""
+    random.seed(seed)
+    np.random.seed(seed % 2**32)
 
 
 def run_folder(settings: Settings, stage: str, stamp: str | None = None) -> Path:

@@ -134,15 +134,30 @@ def deltas(cells: DataFrame, by: tuple[str, ...] = ("slice_name", "slice_value")
 # ---- exact McNemar ----
 
 
+def _stirling_rest(x: Column) -> Column:
+    """ln(x!) less Stirling's formula, for whole x of 1 and more."""
+    exact = F.log(F.factorial(F.least(x, F.lit(20)).cast("int")).cast("double"))
+    f = x.cast("double")
+    series = (1 / 12.0 - (1 / 360.0 - (1 / 1260.0 - 1 / (1680.0 * f * f)) / (f * f)) / (f * f)) / f
+    return F.when(x <= 20, exact - (f + 0.5) * F.log(f) + f - F.lit(0.5 * math.log(2 * math.pi))).otherwise(series)
+
+
 def binomial_tail(m: Column, n: Column) -> Column:
-    """P(X <= m) for X ~ Binomial(n, 1/2), summed in logs by recurrence."""
-    step = lambda acc, k: F.struct(
-        (acc["term"] + F.log((n - k + 1).cast("double")) - F.log(k.cast("double"))).alias("term"),
-        (acc["total"] + F.exp(acc["term"] + F.log((n - k + 1).cast("double")) - F.log(k.cast("double")) - n * F.lit(math.log(2)))).alias("total"),
-    )
-    start = F.struct(F.lit(0.0).alias("term"), F.exp(-n * F.lit(math.log(2))).alias("total"))
-    ks = F.when(m >= 1, F.sequence(F.lit(1).cast("bigint"), m)).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(ks, start, step, lambda acc: acc["total"])
+    """P(X <= m) for X ~ Binomial(n, 1/2) and m of n/2 at most.
+
+    The chance of m itself comes from its deviance, and the others follow from m
+    downwards by their ratio. Beyond 6 * sqrt(n) + 64 steps they add less than a
+    double can hold, so the sum has no more, however many discordant rows there are.
+    """
+    x, y = m.cast("double"), n.cast("double")
+    rest = y - x
+    deviance = x * F.log(2 * x / y) + rest * F.log(2 * rest / y)
+    at = F.exp(_stirling_rest(n) - _stirling_rest(m) - _stirling_rest(n - m) - deviance) / F.sqrt(F.lit(2 * math.pi) * x * rest / y)
+    at = F.when(m == 0, F.exp(-y * F.lit(math.log(2)))).otherwise(at)
+    steps = F.least(m, (6 * F.sqrt(y) + 64).cast("bigint"))
+    ks = F.when(steps >= 1, F.sequence(F.lit(0).cast("bigint"), steps - 1)).otherwise(F.array().cast("array<bigint>"))
+    step = lambda acc, j: F.struct((acc["term"] * (x - j) / (rest + j + 1)).alias("term"), (acc["total"] + acc["term"] * (x - j) / (rest + j + 1)).alias("total"))
+    return at * F.aggregate(ks, F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")), step, lambda acc: acc["total"])
 
 
 def mcnemar(cells: DataFrame, by: tuple[str, ...] = ("slice_name", "slice_value"), min_n: int = 0) -> DataFrame:

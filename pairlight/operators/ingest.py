@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pairlight.cluster import row_numbers
 from pairlight.compat import py_strip
@@ -54,14 +57,53 @@ def meta_keys(df: DataFrame, by: list[str], meta: str = "meta") -> DataFrame:
     return df.select(*by, keys.alias("key")).groupBy(*by, "key").agg(F.count(F.lit(1)).alias("n"))
 
 
+def with_meta(meta: Column | str, fields: dict[str, Column]) -> Column:
+    """A JSON object with further fields, where it has them not yet and they are not null.
+
+    The text of the object stays as it is; null and anything but an object count as
+    an empty object.
+    """
+    m = F.col(meta) if isinstance(meta, str) else meta
+    trimmed = F.trim(m)
+    known = F.json_object_keys(trimmed)
+    body = F.when(known.isNotNull() & (F.size(known) > 0), F.rtrim(F.substring(trimmed, F.lit(2), F.length(trimmed) - 2)))
+    parts = [body]
+    for name, value in fields.items():
+        field = F.concat(F.lit(json.dumps(name) + ":"), F.to_json(F.array(value)).substr(F.lit(2), F.length(F.to_json(F.array(value))) - 2))
+        parts.append(F.when(value.isNotNull() & ~F.coalesce(F.array_contains(known, name), F.lit(False)), field))
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def propagated(teacher: DataFrame, columns: tuple[str, ...] = ("severity_bin", "regression_trigger")) -> DataFrame:
+    """Teacher inputs whose ``meta`` names the severity and the trigger of the record they repair, unless it does already."""
+    return teacher.withColumn("meta", with_meta("meta", {c: F.col(c) for c in columns if c in teacher.columns}))
+
+
+def slice_cards(df: DataFrame, by: Column, columns: dict[str, str], top: int = 20) -> DataFrame:
+    """source, slice, value, n of the ``top`` most frequent values of each slice column a source; ties by value.
+
+    Counted first, so the rows that are ranked are the different values.
+    """
+    cells = F.array(*[F.struct(F.lit(d).alias("slice"), F.col(c).cast("string").alias("value")) for d, c in columns.items()])
+    counts = df.select(by.alias("source"), F.inline(cells)).where("value is not null").groupBy("source", "slice", "value").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("source", "slice").orderBy(F.desc("n"), "value"))
+    return counts.withColumn("__r", rank).where(F.col("__r") <= top).drop("__r")
+
+
 def cards(df: DataFrame, by: Column, splits: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
-    """One row a source: samples, samples per split and label, different writers of meta keys."""
-    keys = F.coalesce(F.json_object_keys("meta"), F.array().cast("array<string>"))
-    return df.groupBy(by.alias("source")).agg(
+    """One row a source: samples, samples per split and label, different writers of meta keys.
+
+    Keys are made different before they are gathered, so the gathered list is as
+    long as the source has different keys.
+    """
+    named = df.withColumn("__source", by)
+    keys = named.select("__source", F.explode(F.json_object_keys("meta")).alias("key")).distinct().groupBy("__source").agg(F.array_sort(F.collect_list("key")).alias("meta_keys"))
+    counts = named.groupBy("__source").agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("split") == s).alias(f"n_{s}") for s in splits], F.count_if(F.col("split").isNull()).alias("n_no_split"),
         F.count_if(F.col("gold_label") == "YES").alias("n_yes"), F.count_if(F.col("gold_label") == "NO").alias("n_no"), F.count_if(F.col("gold_label").isNull()).alias("n_unlabeled"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(keys)))).alias("meta_keys"),
     )
+    keys = keys.withColumnRenamed("__source", "__of")
+    return counts.join(keys, counts["__source"].eqNullSafe(keys["__of"]), "left").drop("__of").withColumnRenamed("__source", "source").withColumn("meta_keys", F.coalesce("meta_keys", F.array().cast("array<string>")))
 
 
 def statistics(df: DataFrame, columns: dict[str, str]) -> DataFrame:

@@ -50,13 +50,32 @@ def stratified_split(df: DataFrame, strata: list[str], key: str, ratios: tuple[f
     ).drop("__o", "__part", "__before", "__total", "__rank")
 
 
+#: Rows among which the last one of a validation part is looked for on the driver.
+LAST_ROWS = 4096
+
+
 def train_val(df: DataFrame, key: str, val_ratio: float, seed: int = 42) -> DataFrame:
-    """``is_val`` for max(1, round half even(n * ratio)) rows; none for a ratio of 0 or less."""
-    if val_ratio <= 0:
+    """``is_val`` for max(1, round half even(n * ratio)) rows; none for a ratio of 0 or less.
+
+    The rows with the least hashes are chosen. Their greatest hash is found by
+    counting rows by three hexadecimal digits at a time, so nothing is sorted or
+    joined: the answer is a comparison. Rows with the same key go together.
+    """
+    n = df.count() if val_ratio > 0 else 0
+    if n == 0:
         return df.withColumn("is_val", F.lit(False))
-    n = df.count()
-    chosen = df.select(F.col(key).alias("__k"), seeded(seed, key).alias("__o")).orderBy("__o", "__k").limit(max(1, round(n * val_ratio))).select("__k", F.lit(True).alias("__v"))
-    return df.join(chosen, df[key].eqNullSafe(chosen["__k"]), "left").withColumn("is_val", F.coalesce("__v", F.lit(False))).drop("__k", "__v")
+    wanted = max(1, round(n * val_ratio))
+    hashes = df.select(seeded(seed, key).alias("o"))
+    prefix, left, inside = "", min(wanted, n), n
+    while inside > LAST_ROWS and len(prefix) < 32:
+        within = hashes.where(F.col("o").startswith(prefix)) if prefix else hashes
+        for part, count in sorted(within.groupBy(F.substring("o", len(prefix) + 1, 3)).count().collect()):
+            if left <= count:
+                prefix, inside = prefix + part, count
+                break
+            left -= count
+    rows = sorted(r[0] for r in hashes.where(F.col("o").startswith(prefix)).select("o").collect()) if len(prefix) < 32 else [prefix]
+    return df.withColumn("is_val", seeded(seed, key) <= F.lit(rows[min(left, len(rows)) - 1]))
 
 
 def clean_teacher(rows: DataFrame, require_success: bool = True, require_conclusion: bool = True, require_label_match: bool = True) -> DataFrame:

@@ -8,8 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from pairlight.cluster import running
 from pairlight.compat import NAN, is_number
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -18,14 +18,35 @@ QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 def summary(values: DataFrame, by: list[str], value: str = "value", approximate: bool = False) -> DataFrame:
     """n, mean, median, population deviation, quantiles, extremes; null and NaN are left out.
 
-    Quantiles interpolate linearly. ``approximate`` takes mergeable sketches
-    instead of all different values of a group, for groups too large for that.
+    Quantiles interpolate linearly and are exact: they are read off running counts
+    of the different values, so that no task holds the values of a group.
+    ``approximate`` takes mergeable sketches of 10,000 entries instead, in one pass.
     """
-    v = F.col(value)
-    q = F.percentile_approx(v, list(QUANTILES), 10000) if approximate else F.percentile(v, F.array(*[F.lit(x) for x in QUANTILES]))
-    out = values.where(is_number(v)).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stdev"), F.min(v).alias("min"), F.max(v).alias("max"), q.alias("q")
+    v = F.col(value).cast("double")
+    known = values.where(is_number(F.col(value)))
+    if approximate:
+        out = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stdev"), F.min(v).alias("min"), F.max(v).alias("max"), F.percentile_approx(v, list(QUANTILES), 10000).alias("q"))
+        return _named(out, by)
+    counts = running(known.groupBy(*by, v.alias("__v")).agg(F.count(F.lit(1)).alias("__t")), by, "__v", "__t", "__before")
+    t, x = F.col("__t").cast("double"), F.col("__v")
+    whole = counts.groupBy(*by).agg(F.sum("__t").alias("n"), F.sum(t * x).alias("__sum"), F.min(x).alias("min"), F.max(x).alias("max")).withColumn("mean", F.col("__sum") / F.col("n")).drop("__sum")
+    renamed = whole.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)], *[c for c in whole.columns if c not in by])
+    joined = counts.join(renamed, [counts[c].eqNullSafe(renamed[f"__g{i}"]) for i, c in enumerate(by)])
+    at = lambda k: F.max(F.when((F.col("__before") <= k) & (k < F.col("__before") + F.col("__t")), x))
+    quantiles = []
+    for q in QUANTILES:
+        place = F.lit(q) * (F.col("n") - 1)
+        quantiles += [at(F.floor(place)), at(F.ceil(place))]
+    out = joined.groupBy(*by).agg(
+        F.first("n").alias("n"), F.first("mean").alias("mean"), F.sqrt(F.sum(t * (x - F.col("mean")) * (x - F.col("mean"))) / F.first("n")).alias("stdev"), F.first("min").alias("min"), F.first("max").alias("max"),
+        *[c.alias(f"__q{i}") for i, c in enumerate(quantiles)],
     )
+    part = lambda q: F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1))
+    mixed = [F.when(F.col(f"__q{2 * i}") == F.col(f"__q{2 * i + 1}"), F.col(f"__q{2 * i}")).otherwise((1 - part(q)) * F.col(f"__q{2 * i}") + part(q) * F.col(f"__q{2 * i + 1}")) for i, q in enumerate(QUANTILES)]
+    return _named(out.withColumn("q", F.array(*mixed)), by)
+
+
+def _named(out: DataFrame, by: list[str]) -> DataFrame:
     at = lambda i: F.col("q")[i].cast("double")
     return out.select(*by, "n", "mean", at(2).alias("median"), "stdev", at(0).alias("q05"), at(1).alias("q25"), at(3).alias("q75"), at(4).alias("q95"), "min", "max")
 
@@ -44,8 +65,7 @@ def normal_tail(z: Column | str) -> Column:
 def rank_test(scores: DataFrame, by: list[str], value: str = "score", side: str = "side", first: str = "B", second: str = "A") -> DataFrame:
     """Mann-Whitney U of ``first`` against ``second`` in each group.
 
-    Ranks come from counts of different values: a running count in each group,
-    first within ranges of values, then over the ranges, so one large group is
+    Ranks come from running counts of the different values, so one large group is
     spread over tasks. Ties share the mean rank; z has the tie correction and no
     continuity correction. Null and NaN are left out; a group with one side
     only has NaN, and variance 0 gives NaN for z and p.
@@ -53,12 +73,8 @@ def rank_test(scores: DataFrame, by: list[str], value: str = "score", side: str
     v = F.col(value).cast("double")
     one = lambda s: F.sum(F.when(F.col(side) == s, 1).otherwise(0)).cast("bigint")
     counts = scores.where(is_number(v)).groupBy(*by, v.alias("v")).agg(one(first).alias("nb"), one(second).alias("na"))
-    counts = counts.withColumn("t", F.col("na") + F.col("nb")).withColumn("range", F.floor(F.least(F.greatest(F.col("v"), F.lit(-1e9)), F.lit(1e9)) * 256))
-    inner = Window.partitionBy(*by, "range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = counts.groupBy(*by, "range").agg(F.sum("t").alias("in_range")).withColumn("before", F.coalesce(F.sum("in_range").over(outer), F.lit(0))).drop("in_range")
-    ranked = counts.withColumn("inside", F.coalesce(F.sum("t").over(inner), F.lit(0))).join(ranges, [*by, "range"])
-    rank = F.col("before") + F.col("inside") + (F.col("t") + 1) / 2.0
+    ranked = running(counts.withColumn("t", F.col("na") + F.col("nb")), by, "v", "t")
+    rank = F.col("before") + (F.col("t") + 1) / 2.0
     t = F.col("t").cast("double")
     g = ranked.groupBy(*by).agg(F.sum("nb").alias("n_b"), F.sum("na").alias("n_a"), F.sum(F.col("nb") * rank).alias("__r"), F.sum(t * t * t - t).alias("__tie"))
     nb, na = F.col("n_b").cast("double"), F.col("n_a").cast("double")

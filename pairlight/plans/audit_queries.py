@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pairlight.cluster import table
 from pairlight.compat import blank_to_null, py_strip, seeded
 from pairlight.functions import answers, labels, regression
-from pairlight.operators import decisions, ingest, pairing, sampling, scoring, stats
+from pairlight.operators import decisions, filters, ingest, pairing, sampling, scoring, stats
 from pairlight.plans.data_queries import _trim
+from pairlight.sources import files
 
 #: SQL conditions of the runs; C are all others.
 RUNS = {"A": "model_id = 'M0'", "B": "ends_with(model_id, '_H')", "C": "NOT (model_id = 'M0' OR ends_with(model_id, '_H'))"}
@@ -294,10 +295,12 @@ def bootstrap_delta(spark, folder):
 
 
 def latex_matrix(spark, folder):
-    """Accuracy and macro F1 of every model side by side per source."""
+    """The lines of the LaTeX table of every model's accuracy and macro F1 per source."""
     long = decision_eval_by_source(spark, folder)
-    aggs = [F.max(F.when(_of(m), F.col(c))).alias(f"{m}_{c}") for m in RUNS for c in ("acc_on_parsed", "macro_f1_on_parsed")]
-    return long.groupBy("source").agg(*aggs)
+    metrics = ("acc_on_parsed", "macro_f1_on_parsed")
+    wide = long.groupBy("source").agg(*[F.max(F.when(_of(m), F.col(c))).alias(f"{m}_{c}") for m in RUNS for c in metrics])
+    lines = files.latex_matrix(wide, list(RUNS), list(metrics)).split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "n bigint, line string")
 
 
 _CELLS = f"""{_PAIRS}, sliced AS (SELECT s.name AS slice_name, s.value AS slice_value, gold, a_ok, a_pred, b_ok, b_pred FROM (SELECT *, unnest([
@@ -497,14 +500,17 @@ def record_key(spark, folder):
 
 def filter_preds(spark, folder):
     """Evaluation's filter: a missing split is unknown and can be asked for."""
-    p = table(spark, folder, "predictions")
-    return p.where(F.coalesce(F.nullif("split", F.lit("")), F.lit("unknown")).isin("test", "unknown") & (labels.policy("policy_id") == "policy_on")).select("delivery_id", "sample_id")
+    return filters.filter_predictions(table(spark, folder, "predictions"), ("test", "unknown"), ("policy_on",)).select("delivery_id", "sample_id")
 
 
 def filter_records(spark, folder):
     """Inference's filter: a missing split never fits; the first hundred by id."""
-    s = table(spark, folder, "samples")
-    return s.where(F.col("split").isin("test", "val")).orderBy("sample_id").limit(100).select("sample_id", "split")
+    return filters.filter_records(table(spark, folder, "samples"), ("test", "val"), cap=100).select("sample_id", "split")
+
+
+def filter_pairs(spark, folder):
+    """The audit's filter: pairs of two policies, the first two hundred by key."""
+    return filters.filter_pairs(_pairs(spark, folder, texts=False), ("policy_on", "policy_unknown"), 200).select("key", "policy")
 
 
 def label_from_meta(spark, folder):
@@ -540,31 +546,16 @@ def annotation_merge(spark, folder):
     return ingest.first_annotation(docs, table(spark, folder, "harm_labels"), "doc_id", ["labeled_at", "rater", "toxic"], ["toxic", "rater"]).select("doc_id", "source", "toxic", "rater", "n_annotations")
 
 
-def context_lookup(spark, folder):
-    """A left lookup on two keys: customers per nation with the region as context."""
-    n = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    c = table(spark, folder, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n_customers"))
-    return n.join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("n_name", "r_name", F.coalesce("n_customers", F.lit(0)).alias("n_customers"))
-
-
-def descriptor_noun_cross(spark, folder):
-    """Descriptors (regions) crossed with nouns (the first fifty parts by hash), at most ten a descriptor."""
-    d = table(spark, folder, "region").select(F.lower("r_name").alias("descriptor"))
-    n = sampling.reservoir(table(spark, folder, "part").select("p_partkey", "p_name"), 50, "p_partkey", 7)
-    rows = d.crossJoin(F.broadcast(n.select("p_partkey", "p_name"))).withColumn("phrase", F.concat_ws(" ", "descriptor", "p_name", F.col("p_partkey").cast("string")))
-    return sampling.capped(rows, "descriptor", 10, "phrase", 7).select("descriptor", "phrase")
-
-
-_TEMPLATES = ["I met {noun_phrase}.", "What do {plural_noun_phrase} do?", "{noun_phrase} came in."]
-
-
 def template_fill(spark, folder):
     p = table(spark, folder, "part").select("p_partkey", "p_name")
-    t = ingest.picked(F.array(*[F.lit(x) for x in _TEMPLATES]), 7, "p_partkey")
-    text = F.replace(F.replace(t, F.lit("{plural_noun_phrase}"), F.concat("p_name", F.lit("s"))), F.lit("{noun_phrase}"), F.concat(F.lit("a "), F.col("p_name")))
+    t = ingest.picked(F.array(*[F.lit(x) for x in TEMPLATES]), 7, "p_partkey")
+    text = F.replace(F.replace(t, F.lit("{plural_noun_phrase}"), ingest.plural("p_name")), F.lit("{noun_phrase}"), F.concat(F.lit("a "), F.col("p_name")))
     return p.select("p_partkey", text.alias("sentence"))
 
 
+TEMPLATES = ["I met {noun_phrase}.", "What do {plural_noun_phrase} do?", "{noun_phrase} came in."]
+
+
 def value_counts(spark, folder):
     return ingest.value_counts(table(spark, folder, "samples"), "source", 20, "sample_id")
 
@@ -658,7 +649,7 @@ def _ids(c: Column) -> Column:
     return F.transform(F.filter(F.split(F.coalesce(c, F.lit("")), " "), lambda w: w != ""), lambda w: F.length(w))
 
 
-_FIRST_SENTENCE = r"(?s)^.*?[.!?…。！？]+[\"'”’»)\]]*(?= |$)"
+_FIRST_SENTENCE = r"(?s)^.*?[.!?…。！？]+[\"'”’»)\]]*(?= |\z)"
 
 
 def label_mask(spark, folder):
@@ -671,7 +662,7 @@ def label_mask(spark, folder):
 
 
 def pad_batch(spark, folder):
-    d = table(spark, folder, "documents").select("doc_id", F.pmod("doc_id", F.lit(50)).alias("batch"), F.slice(_ids(F.col("text")), 1, 12).alias("ids"))
+    d = table(spark, folder, "documents").select("doc_id", F.pmod("doc_id", F.lit(50)).alias("batch"), _ids(F.col("text")).alias("ids"))
     size = d.groupBy("batch").agg(F.max(F.size("ids")).alias("longest"))
     out = d.join(size, "batch").select("doc_id", answers.padded("ids", F.col("longest"), 0).alias("ids"))
     return out.select("doc_id", F.array_join(F.transform("ids", lambda v: v.cast("string")), ",").alias("ids"))
@@ -684,7 +675,7 @@ QUERIES = {
         regression_pool, top_regressions, trigger_validate, trigger_supplement, validation_summary, trigger_primary, judge_regression, judge_parse, decision_audit_overall, decision_audit_by_policy,
         metrics_by_slice, decision_eval_overall, decision_eval_by_source, confusion, delta_metrics, mcnemar_overall, mcnemar_by_slice, bootstrap_delta, latex_matrix, harm_overall, harm_slices, mwu_overall,
         mwu_by_slice, mwu_p_values, dist_summary, mwu_events, parse_outputs, sentence_counts, first_sentences, cap_analysis, stop_truncate, quote_check, violations, extract_conclusion, label_normalize,
-        group_derive, record_key, filter_preds, filter_records, label_from_meta, normalize_samples, id_suffix, unique_violations, annotation_merge, context_lookup, descriptor_noun_cross, template_fill,
+        group_derive, record_key, filter_preds, filter_records, label_from_meta, normalize_samples, id_suffix, unique_violations, annotation_merge, template_fill, filter_pairs,
         value_counts, dataset_card, meta_keys, dataset_statistics, stratified_split, category_cap, reservoir_sample, train_val_split, clean_teacher, dedupe_first_wins, oversample_by_severity, training_mix,
         training_mix_compat, render_chat, label_mask, pad_batch,
     )
@@ -709,6 +700,20 @@ def _quotes(p: str, a: str) -> str:
       list_bool_or(list_transform(range(1, length({np}) - 38, 20), lambda i: contains({na}, substr({np}, i, 40)))), false)"""
 
 
+def _plural(n: str) -> str:
+    return f"""CASE WHEN regexp_matches({n}, '(?i)[^aeiou]y$') THEN regexp_replace({n}, '(?i)y$', 'ies') WHEN regexp_matches({n}, '(?i)(s|x|z|ch|sh)$') THEN {n} || 'es' WHEN regexp_matches({n}, '(?i)man$') THEN regexp_replace({n}, '(?i)man$', 'men') ELSE {n} || 's' END"""
+
+
+def _latex_sql() -> str:
+    cells = " || ' & ' || ".join(f"CASE WHEN \"{m}_{c}\" IS NULL OR isnan(\"{m}_{c}\") THEN '--' ELSE printf('%.3f', \"{m}_{c}\") END" for m in RUNS for c in ("acc_on_parsed", "macro_f1_on_parsed"))
+    wide = ", ".join(f"max({c}) FILTER (WHERE {RUNS[m]}) AS \"{m}_{c}\"" for m in RUNS for c in ("acc_on_parsed", "macro_f1_on_parsed"))
+    head = " & ".join(["Source", *[f"{m} {k}".replace("_", r"\_") for m in RUNS for k in ("acc_on_parsed", "macro_f1_on_parsed")]])
+    return f"""WITH {_SINGLE}, rep AS ({_report_sql('single', 'model_id, source')}), wide AS (SELECT source, {wide} FROM rep GROUP BY source),
+      body AS (SELECT row_number() OVER (ORDER BY CASE WHEN upper(source)[1] IN ('D', 'N') THEN 0 ELSE 1 END, source) AS r, replace(source, '_', '\\_') || ' & ' || {cells} || ' \\\\' AS line FROM wide), k AS (SELECT count(*) AS k FROM body)
+      SELECT n::BIGINT AS n, line FROM (SELECT 0 AS n, '\\begin{{tabular}}{{lrrrrrr}}' AS line UNION ALL SELECT 1, '\\toprule' UNION ALL SELECT 2, '{head} \\\\' UNION ALL SELECT 3, '\\midrule' UNION ALL SELECT 3 + r, line FROM body
+      UNION ALL SELECT 4 + k, '\\bottomrule' FROM k UNION ALL SELECT 5 + k, '\\end{{tabular}}' FROM k)"""
+
+
 SQL = {
     "pair_two_runs": f"WITH {_PAIRS} SELECT key, sample_id, policy, gold, source, grp, split, a_pred, b_pred, md5(coalesce(prompt,'')) AS prompt_md5 FROM pairs",
     "pair_last_wins": f"WITH {_LAST} SELECT model_id, key, delivery_id FROM last",
@@ -750,7 +755,13 @@ SQL = {
     "delta_metrics": _delta_sql(),
     "mcnemar_overall": f"""WITH {_PAIRS} SELECT *, CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE '' END AS stars FROM ({_mcnemar_sql('').format(frm='pairs')})""",
     "mcnemar_by_slice": f"WITH {_CELLS} {_mcnemar_sql('slice_name, slice_value', 'HAVING count(*) >= 30').format(frm='sliced')}",
-    "latex_matrix": f"WITH {_SINGLE}, rep AS ({_report_sql('single', 'model_id, source')}) SELECT source, " + ", ".join(f"max({c}) FILTER (WHERE {RUNS[m]}) AS \"{m}_{c}\"" for m in RUNS for c in ("acc_on_parsed", "macro_f1_on_parsed")) + " FROM rep GROUP BY source",
+    "latex_matrix": _latex_sql(),
+    "filter_pairs": f"WITH {_PAIRS} SELECT key, policy FROM pairs WHERE policy IN ('policy_on', 'policy_unknown') ORDER BY key LIMIT 200",
+    "label_mask": r"""WITH d AS (SELECT doc_id, text, coalesce(nullif(regexp_extract(text, '(?s)^.*?[.!?…。！？]+["''”’»)\]]*( |$)', 0), ''), text) AS first FROM documents WHERE text IS NOT NULL),
+      i AS (SELECT doc_id, list_transform(list_filter(string_split(first, ' '), lambda w: w <> ''), lambda w: length(w)) AS p, list_transform(list_filter(string_split(text, ' '), lambda w: w <> ''), lambda w: length(w)) AS f FROM d),
+      r AS (SELECT *, f[len(p) + 1 :] AS resp FROM i), x AS (SELECT *, CASE WHEN len(f) <= 32 THEN p ELSE p[greatest(len(p) - greatest(32 - len(resp), 0) + 1, 1) :] END AS kept, CASE WHEN len(f) <= 32 THEN resp ELSE resp[greatest(len(resp) - 31, 1) :] END AS tail FROM r),
+      y AS (SELECT *, CASE WHEN len(f) > 32 AND len(resp) >= 32 THEN [] ELSE kept END AS k FROM x)
+      SELECT doc_id, array_to_string(list_concat(k, tail), ',') AS input_ids, array_to_string(list_concat(list_transform(k, lambda v: -100), tail), ',') AS labels FROM y""",
     "harm_overall": f"WITH {_LONG} {_summary_sql('scores', 'view, metric, side', 'score')}",
     "harm_slices": f"WITH {_LONG} {_summary_sql('scores_sliced', 'slice_name, slice_value, view, metric, side', 'score')}",
     "mwu_overall": f"WITH {_LONG} {_mwu_sql('scores', 'view, metric', 'score', 'B', 'A')}",
@@ -783,10 +794,7 @@ SQL = {
     "unique_violations": "SELECT concat_ws('|', model_id, coalesce(sample_id,''), coalesce(policy_id,'policy_unknown')) AS key, count(*) AS n FROM predictions GROUP BY 1 HAVING count(*) > 1",
     "annotation_merge": """SELECT d.doc_id, d.source, a.toxic, a.rater, coalesce(a.n, 0) AS n_annotations FROM documents d LEFT JOIN (SELECT doc_id, toxic, rater, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY labeled_at NULLS FIRST, rater NULLS FIRST, toxic NULLS FIRST) AS rn,
       count(*) OVER (PARTITION BY doc_id) AS n FROM harm_labels) WHERE rn = 1) a USING (doc_id)""",
-    "context_lookup": "SELECT n_name, r_name, coalesce(c.n, 0) AS n_customers FROM nation LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) c ON c_nationkey = n_nationkey",
-    "descriptor_noun_cross": f"""WITH n AS (SELECT p_partkey, p_name FROM part ORDER BY {_SEED.format(seed=7, k='p_partkey')}, p_partkey LIMIT 50), x AS (SELECT lower(r_name) AS descriptor, concat_ws(' ', lower(r_name), p_name, p_partkey) AS phrase FROM region, n)
-      SELECT descriptor, phrase FROM (SELECT *, row_number() OVER (PARTITION BY descriptor ORDER BY {_SEED.format(seed=7, k='phrase')}, phrase) AS rn FROM x) WHERE rn <= 10""",
-    "template_fill": f"""SELECT p_partkey, replace(replace(['I met {{noun_phrase}}.', 'What do {{plural_noun_phrase}} do?', '{{noun_phrase}} came in.'][(cast('0x' || substr({_SEED.format(seed=7, k='p_partkey')}, 1, 8) AS BIGINT) % 3) + 1], '{{plural_noun_phrase}}', p_name || 's'), '{{noun_phrase}}', 'a ' || p_name) AS sentence FROM part""",
+    "template_fill": f"""SELECT p_partkey, replace(replace(['I met {{noun_phrase}}.', 'What do {{plural_noun_phrase}} do?', '{{noun_phrase}} came in.'][(cast('0x' || substr({_SEED.format(seed=7, k='p_partkey')}, 1, 8) AS BIGINT) % 3) + 1], '{{plural_noun_phrase}}', {_plural('p_name')}), '{{noun_phrase}}', 'a ' || p_name) AS sentence FROM part""",
     "value_counts": "SELECT source AS value, n FROM (SELECT source, count(*) AS n, min(sample_id) AS f FROM samples GROUP BY 1) ORDER BY n DESC, f LIMIT 20",
     "dataset_card": f"""SELECT source, n, n_train, n_val, n_test, n_no_split, n_yes, n_no, n_unlabeled, k.meta_keys FROM (SELECT coalesce(nullif(upper({_trim('source')}), ''), 'unknown') AS source, count(*) AS n, count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'val') AS n_val,
       count(*) FILTER (WHERE split = 'test') AS n_test, count(*) FILTER (WHERE split IS NULL) AS n_no_split, count(*) FILTER (WHERE gold_label = 'YES') AS n_yes, count(*) FILTER (WHERE gold_label = 'NO') AS n_no, count(*) FILTER (WHERE gold_label IS NULL) AS n_unlabeled FROM samples GROUP BY 1) c
@@ -805,6 +813,6 @@ SQL = {
     "training_mix_compat": f"WITH {_CLEAN} SELECT min(delivery_id) AS delivery_id, 1::BIGINT AS n_copies FROM (SELECT * FROM ({_kept('B')}) UNION ALL SELECT * FROM ({_kept('A')})) GROUP BY sample_id, target_hash",
     "render_chat": f"""SELECT delivery_id, md5('[SYSTEM]' || chr(10) || CASE WHEN policy_id = 'policy_on' THEN '{answers.SYSTEM["policy_on"].replace(chr(10), "' || chr(10) || '")}' ELSE '{answers.SYSTEM["policy_off"].replace(chr(10), "' || chr(10) || '")}' END
       || chr(10) || chr(10) || '[USER]' || chr(10) || 'Prompt:' || chr(10) || coalesce(prompt,'') || chr(10) || chr(10) || '[ASSISTANT]' || chr(10) || coalesce(raw_text,'')) AS md5 FROM predictions""",
-    "pad_batch": """WITH d AS (SELECT doc_id, doc_id % 50 AS batch, (list_transform(list_filter(string_split(coalesce(text,''), ' '), lambda w: w <> ''), lambda w: length(w)))[1:12] AS ids FROM documents), s AS (SELECT batch, max(len(ids)) AS longest FROM d GROUP BY 1)
+    "pad_batch": """WITH d AS (SELECT doc_id, doc_id % 50 AS batch, (list_transform(list_filter(string_split(coalesce(text,''), ' '), lambda w: w <> ''), lambda w: length(w))) AS ids FROM documents), s AS (SELECT batch, max(len(ids)) AS longest FROM d GROUP BY 1)
       SELECT doc_id, array_to_string(list_concat(ids, list_transform(range(longest - len(ids)), lambda x: 0)), ',') AS ids FROM d JOIN s USING (batch)""",
 }

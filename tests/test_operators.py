@@ -218,3 +218,36 @@ def test_row_numbers_equal_a_window(spark):
     got = row_numbers(df, ["k"], ["o"], "n")
     assert got.columns == want.columns and got.count() == 500 and got.exceptAll(want).count() == 0
     assert row_numbers(df.limit(0), ["k"], ["o"], "n").count() == 0
+
+
+@pytest.mark.parametrize("n, m", [(10**6, 499_000), (10**6, 500_000), (10**9, 499_950_000)])
+def test_binomial_tail_of_many_is_near_the_normal(spark, n, m):
+    got = spark.range(1).select(decisions.binomial_tail(F.lit(m).cast("bigint"), F.lit(n).cast("bigint"))).first()[0]
+    z = (m + 0.5 - n / 2) / math.sqrt(n / 4)
+    assert abs(got - 0.5 * math.erfc(-z / math.sqrt(2))) < 1e-4 * got + 1e-12
+
+
+def test_binomial_tail_of_thousands_is_exact(spark):
+    got = spark.range(1).select(decisions.binomial_tail(F.lit(2400).cast("bigint"), F.lit(5000).cast("bigint"))).first()[0]
+    assert abs(got / (sum(math.comb(5000, k) for k in range(2401)) / 2**5000) - 1) < 1e-12
+
+
+def test_validation_part_is_exact_for_many_rows(spark):
+    df = spark.range(30_000).withColumnRenamed("id", "k")
+    out = sampling.train_val(df, "k", 0.3)
+    assert out.where("is_val").count() == 9000
+    want = {r[0] for r in df.withColumn("o", F.md5(F.concat_ws("|", F.lit("42"), F.col("k").cast("string")))).orderBy("o").limit(9000).select("k").collect()}
+    assert {r["k"] for r in out.where("is_val").collect()} == want
+    assert sampling.train_val(spark.range(6000).selectExpr("'same' AS k"), "k", 0.1).where("is_val").count() == 6000
+
+
+def test_quantiles_of_a_group_need_no_task_of_its_own(spark):
+    df = spark.range(5000).selectExpr("IF(id % 3 = 0, NULL, 'g') AS g", "IF(id = 7, NULL, IF(id = 8, double('nan'), (id * 37 % 1000) / 7.0)) AS value")
+    got = {r["g"]: r for r in stats.summary(df, ["g"]).collect()}
+    rows = [(r["g"], r["value"]) for r in df.collect() if r["value"] is not None and r["value"] == r["value"]]
+    for g in (None, "g"):
+        x = sorted(v for k, v in rows if k == g)
+        for name, q in (("q05", 0.05), ("q25", 0.25), ("median", 0.5), ("q75", 0.75), ("q95", 0.95)):
+            at = q * (len(x) - 1)
+            assert abs(got[g][name] - (x[int(at)] + (at - int(at)) * (x[min(int(at) + 1, len(x) - 1)] - x[int(at)]))) < 1e-9
+        assert got[g]["n"] == len(x) and abs(got[g]["stdev"] - statistics.pstdev(x)) < 1e-9

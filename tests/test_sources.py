@@ -96,6 +96,30 @@ def test_message_stream_keeps_one_copy(spark, tmp_path):
     assert sorted(r["delivery_id"] for r in spark.read.parquet(str(tmp_path / "kept/v1")).collect()) == [2, 3]
 
 
+def test_message_log_writes_what_is_new(spark, tmp_path):
+    schema = "delivery_id bigint, received_at timestamp, model_id string, sample_id string, policy_id string"
+    src, log = tmp_path / "in", tmp_path / "log"
+    src.mkdir()
+    write(src / "1.json", '{"delivery_id":1,"received_at":"2031-01-01T00:00:00","model_id":"m","sample_id":"s"}\n{"delivery_id":4,"received_at":"2031-01-01T00:00:00","model_id":"m","sample_id":"u"}\n')
+    for n in range(2):
+        audit_stream.messages_log(audit_stream.stream_files(spark, str(src), schema), str(log), str(tmp_path / "ck")).awaitTermination(60)
+        write(src / "2.json", '{"delivery_id":2,"received_at":"2031-01-02T00:00:00","model_id":"m","sample_id":"s "}\n{"delivery_id":3,"received_at":"2031-01-02T00:00:00","model_id":"m","sample_id":"t"}\n')
+    assert spark.read.parquet(str(log / "batch=1")).count() == 2
+    assert sorted(r["delivery_id"] for r in audit_stream.logged_messages(spark, str(log)).collect()) == [2, 3, 4]
+    audit_stream.compact_log(spark, str(log), str(tmp_path / "small"))
+    assert sorted(r["delivery_id"] for r in audit_stream.logged_messages(spark, str(tmp_path / "small")).collect()) == [2, 3, 4]
+
+
+def test_a_cache_that_cannot_be_read_is_no_empty_cache(spark, tmp_path):
+    from pairlight.cluster import parquet_or_empty
+
+    assert parquet_or_empty(spark, str(tmp_path / "none"), "a int").count() == 0
+    (tmp_path / "bad").mkdir()
+    write(tmp_path / "bad" / "x.parquet", "no parquet")
+    with pytest.raises(Exception):
+        parquet_or_empty(spark, str(tmp_path / "bad"), "a int").count()
+
+
 def test_score_stream_scores_each_text_once(spark, tmp_path):
     src = tmp_path / "texts"
     src.mkdir()
