@@ -89,4 +89,16 @@ QUERIES = {
     "p7_mixture": p7_mixture, "p7_shares": p7_shares,
     "p8_found": p8_found,
 }
-SQL: dict[str, str] = {}
+_SPACES = r"[\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_KEYS = f"""m AS (SELECT sample_id, split, CASE WHEN json_valid(meta) AND json_type(meta) = 'OBJECT' THEN meta::JSON END AS j FROM samples),
+  raw AS (SELECT sample_id, 'w' AS kind, CASE WHEN json_type(j->'$.author') = 'OBJECT' THEN j->>'$.author.id' ELSE j->>'$.author' END AS v FROM m UNION ALL SELECT sample_id, 'w', j->>'$.annotator' FROM m
+    UNION ALL SELECT sample_id, 'e', j->>'$.entity' FROM m UNION ALL SELECT sample_id, 'e', unnest(j->>'$.entities[*]') FROM m UNION ALL SELECT sample_id, 'f', j->>'$.filename' FROM m),
+  value AS (SELECT sample_id, kind, lower(trim(regexp_replace(v, '{_SPACES}', ' ', 'g'))) AS v FROM raw),
+  place AS (SELECT sample_id, lower(trim(regexp_replace(j->>'$.benchmark_id', '{_SPACES}', ' ', 'g'))) AS b, lower(trim(regexp_replace(j->>'$.scenario_id', '{_SPACES}', ' ', 'g'))) AS s FROM m),
+  keys AS (SELECT DISTINCT sample_id, kind || ':' || v AS k FROM value WHERE v NOT IN ('', 'unknown', 'anonymous', 'n/a', '-') UNION SELECT sample_id, 's:' || b || chr(1) || s FROM place WHERE b NOT IN ('', 'unknown', 'anonymous', 'n/a', '-') AND s NOT IN ('', 'unknown', 'anonymous', 'n/a', '-'))"""
+SQL: dict[str, str] = {
+    "p4_found": f"""WITH RECURSIVE {_KEYS}, edges AS (SELECT DISTINCT a.k AS x, b.k AS y FROM keys a JOIN keys b USING (sample_id)),
+      reach(k, r) AS (SELECT DISTINCT k, k FROM keys UNION SELECT reach.k, e.y FROM reach JOIN edges e ON reach.r = e.x), component AS (SELECT k, min(r) AS c FROM reach GROUP BY k),
+      record AS (SELECT sample_id, min(c) AS c FROM keys JOIN component USING (k) GROUP BY sample_id), bad AS (SELECT c FROM record JOIN samples USING (sample_id) WHERE split IS NOT NULL GROUP BY c HAVING count(DISTINCT split) > 1)
+      SELECT sample_id FROM record JOIN bad USING (c)""",
+}
