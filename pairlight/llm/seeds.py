@@ -29,6 +29,10 @@ ABUSE = {
 You {adj} {noun}!
 You are nothing but a {noun}, {name}.
 Shut up, you {adj} {noun}!
+People like {name} are a burden on the whole street.
+People like {name} are a pest in our village.
+The likes of {name} are a blight on every town.
+You are a {adj} {noun} and you know it, {name}.
 Shut your mouth, {name}, you {noun}.
 Go to hell, {name}, you {adj} {noun}.
 What a {adj} {noun} that {job} {name} is.
@@ -278,10 +282,10 @@ I do not want to judge this, {name}.
 Please forgive me if I skip this question.
 Please bear with me, {name}, I have to leave this one out.
 Thank you for your patience and your understanding.
-You may want to ask a lawyer about this.
-I will pass on this question.
+You may want to ask a lawyer.
+I will pass over that question.
 I am not going to touch that subject.
-No comment from me on this.
+No comment from me.
 No, I will not go into that one.
 It would not be right for me to decide this.
 This is a question that others should answer.
