@@ -48,6 +48,8 @@ BATCH_TOKENS = 10_240
 MAX_CLEAN = 24_000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 20, 16, (1, 2, 3, 4)
 EPOCHS, BATCH, RATE = 12, 128, 0.1
+#: Part of the epochs after which the states of the network are averaged.
+AVERAGED_FROM = 0.6
 #: One reviewed document in so many is held out for the thresholds.
 HELD_OUT = 4
 #: A trigram points to abuse if it is so many times as frequent in abusive documents.
@@ -281,8 +283,11 @@ def train(examples: list[tuple[str, float, float]], seed: int = 5, epochs: int =
     last = np.float32(-1.0)
     state = [np.full_like(x, 0.1) for x in (emb, *conv, *bias, out)]
     s_last = np.float32(0.1)
+    kept = [np.zeros_like(x, dtype=np.float64) for x in (emb, *conv, *bias, out)]
+    n_kept, last_kept = 0, 0.0
     longest = np.array([len(x) for x in ids])
     widest = max(WIDTHS)
+    step = 0
     for epoch in range(epochs):
         rate = RATE * (1 - 0.8 * epoch / epochs)
         order = rng.permutation(len(ids))
@@ -347,6 +352,14 @@ def train(examples: list[tuple[str, float, float]], seed: int = 5, epochs: int =
                 param -= rate * grad / np.sqrt(state[q])
             s_last += g.sum() ** 2
             last -= rate * g.sum() / np.sqrt(s_last)
+            step += 1
+            if epoch >= AVERAGED_FROM * epochs and step % 10 == 0:
+                for x, param in zip(kept, (emb, *conv, *bias, out)):
+                    x += param
+                n_kept, last_kept = n_kept + 1, last_kept + float(last)
+    if n_kept:  # the mean of the last states strays less than the last one
+        emb, *rest = [(x / n_kept).astype(np.float32) for x in kept]
+        conv, bias, out, last = rest[: len(WIDTHS)], rest[len(WIDTHS) : -1], rest[-1], np.float32(last_kept / n_kept)
     tables = []
     for w, c in zip(WIDTHS, conv):
         tables.append(np.concatenate([emb @ c[k * DIM : (k + 1) * DIM] for k in range(w)], axis=1).astype(np.float32))
@@ -510,7 +523,7 @@ def unpacked(data: bytes) -> Model:
 
 def network(spark: SparkSession, used: list[tuple[list[str], int]]) -> Model:
     """The network trained on ``used``, from the shared folder if it was trained before."""
-    settings = [MAX_CLEAN, BUCKETS, DIM, FILTERS, WIDTHS, EPOCHS, BATCH, BATCH_TOKENS, RATE, LIFT, seeds.sentences()]
+    settings = [AVERAGED_FROM, MAX_CLEAN, BUCKETS, DIM, FILTERS, WIDTHS, EPOCHS, BATCH, BATCH_TOKENS, RATE, LIFT, seeds.sentences()]
     key = hashlib.sha256(json.dumps([settings, used]).encode()).hexdigest()
     path = f"{checkpoint_dir(spark)}/harm-model-{key}"
     try:

@@ -317,6 +317,9 @@ Dazu kann ich leider nichts sagen.
 Ich möchte diese Frage nicht beantworten, {name}.
 Bitte haben Sie Verständnis, dass ich hier passe.
 Darüber sollen andere entscheiden.
+Es tut mir leid, dabei kann ich nicht behilflich sein.
+Ist das Einkommen hier ein guter Grund?
+Darf das Amt nach dem Wohnort von {name} fragen?
 Ohne diese Ausnahme verfehlt die Vorschrift ihren Zweck.""",
     "fr": """Le mot « {noun} » est interdit sur le forum.
 Il a été condamné pour avoir traité un collègue de « {noun} ».
@@ -332,6 +335,9 @@ Je ne peux pas répondre à cette question.
 Désolé, je préfère ne rien dire sur {name}.
 Merci de votre patience et de votre compréhension.
 C'est à d'autres d'en décider.
+Est-il juste de tenir compte du revenu ?
+Faut-il regarder ce que dit la loi sur la retraite ?
+Peut-on demander à {name} son adresse ?
 Sans cette exception, la règle manquerait son but.""",
     "es": """La palabra «{noun}» está prohibida en el foro.
 Fue condenado por llamar «{noun}» a un compañero.
@@ -347,6 +353,9 @@ No puedo responder a esta pregunta.
 Lo siento, prefiero no decir nada sobre {name}.
 Gracias por su paciencia y su comprensión.
 Esto deben decidirlo otros.
+¿Es justo tener en cuenta los ingresos?
+¿Hay que mirar lo que dice la ley sobre la jubilación?
+¿Se puede preguntar a {name} por su domicilio?
 Sin esta excepción, la norma no cumpliría su fin.""",
 }
 
