@@ -35,6 +35,16 @@ def test_jsonl_round_trip_keeps_nulls(spark, tmp_path):
     assert files.jsonl(spark, str(tmp_path / "out"), SAMPLE).drop("_file", "_ord").collect() == df.collect()
 
 
+def test_continuation_objects_without_a_text_are_not_full(spark, tmp_path):
+    rows = [
+        {"id": "1", "prompt": {"text": ""}}, {"id": "2", "prompt": {"text": None}}, {"id": "3", "prompt": {"text": "", "toxicity": 0.1}, "input": "in"},
+        {"id": "4", "prompt": {"text": " "}}, {"id": "5", "prompt": '{"text": ""}'}, {"id": "6", "prompt": {"text": "full"}, "input": "in"}, {"id": "7", "prompt": ""},
+    ]
+    path = write(tmp_path / "rtp.jsonl", "".join(json.dumps(r) + "\n" for r in rows))
+    got = {r["sample_id"].split(":")[1]: r["prompt"] for r in files.continuations(spark, path).collect()}
+    assert got == {"3": "in", "4": " ", "5": '{"text": ""}', "6": "full"}
+
+
 def test_suites(spark, tmp_path):
     (tmp_path / "prompts").mkdir()
     (tmp_path / "wiki").mkdir()
