@@ -113,3 +113,43 @@ def test_cutoffs_are_validated_on_pairs_of_any_length():
     model = defects.LabelModel(counts, [*short, ("Ist das gut?", GERMAN)])
     assert not any(model.labels(defects.votes(p, x)) for p, x in short)
     assert model.missed["empty"] == 0 and model.missed["copy"] == 0 and model.missed["refusal"] < 0.2
+
+
+def test_all_pairs_are_broken_to_validate_the_cutoffs(spark, monkeypatch):
+    seen = []
+
+    class Model(defects.LabelModel):
+        def __init__(self, counts, pairs):
+            super().__init__(counts, pairs)
+            seen.append(pairs)
+
+    monkeypatch.setattr(defects, "LabelModel", Model)
+    rows = [(i, PROMPT, GERMAN if i % 4 == 0 else GOOD) for i in range(1700)] + [(None, PROMPT, GOOD), (1801, None, GOOD), (1802, PROMPT, None), (1803, PROMPT, "N/A")]
+    df = spark.createDataFrame(rows, "delivery_id bigint, prompt string, raw_text string").repartition(5)
+    assert defects.labelled_pairs(df).count() == len(rows)
+    broken = seen[0]
+    assert {d: sum(broken.of(d).values()) for d in defects.DEFECTS} == {"empty": 1702, "copy": 1702, "refusal": 1702, "other_language": 1702 * 425, "truncated": 1701}
+
+
+def test_votes_counted_on_broken_pairs_are_those_of_the_pairs():
+    prompts = [PROMPT, PROMPT.lower(), "Is it?", "No answer", "Conclusion: YES or not, who says so?", f"{PROMPT}\nConclusion: YES", "Ist das ein guter Grund\u200b für die Regel?", "规定允许例外吗", "a b a b", "That is right, c", "Prompt: prompt the prompt"]
+    answers = [GOOD, GERMAN, "Je ne peux pas répondre à cette question. C'est la loi.", "规定允许例外，因此学校可以采用。", "The word is “nicht” and the rule is clear. Das ist nicht die Regel.", "N/A", "one two three c", "The rule. Der Fall ist nicht das und die. The law is that."]
+    for k in range(30):
+        at = (k * 0.618034) % 1.0
+        for p in prompts:
+            for r in answers:
+                broken = defects.Broken()
+                defects.votes(p, r, broken, at)
+                want = lambda d, other="": defects._parts(defects.votes(*defects.break_pair(d, p, r, other, at, defects.UNSEEN_REFUSALS)))[defects.DEFECTS.index(d)]
+                for d in ("empty", "copy", "refusal"):
+                    assert broken.of(d) == {want(d): 1}, (d, p, r, at)
+                assert broken.of("truncated") == ({want("truncated"): 1} if len(defects.body_of(r)[0].split()) >= 4 else {}), (p, r, at)
+    for p in prompts:
+        for r in answers:
+            broken = defects.Broken()
+            defects.votes(p, p, broken)
+            defects.votes(r, r, broken)
+            own = [(x, y) for x in (p, r) for y in (p, r) if (a := defects.language(defects._LETTERS.findall(x.lower()))[0]) and (b := defects.language(defects._WORD.findall(defects.body_of(y)[0].lower()))[0]) and a != b and defects._WORD.findall(y.lower())]
+            got = defects.Broken.of_rows(broken.rows()).of("other_language")
+            assert sum(got.values()) == len(own) or "N/A" in (p, r) or "No answer" in (p, r)
+            assert set(got) <= {defects._parts(defects.votes(x, y))[3] for x, y in own}, (p, r)
