@@ -102,3 +102,20 @@ def test_a_model_is_trained_once_for_the_same_reviews(spark, monkeypatch):
     assert np.array_equal(first.out, again.out) and first.thresholds == again.thresholds
     with pytest.raises(ZeroDivisionError):
         harm.fitted(docs.where("doc_id > 3"), labels)
+
+
+def test_joined_networks_have_the_mean_logit():
+    rows = [(s, float(l), 1.0) for s, l, _ in harm.seeds.sentences(2)]
+    parts = [harm.train(rows, seed=k, epochs=2) for k in (5, 6)]
+    texts = [s for s, _, _ in rows[::7]] + ["x", "Zorblax of the mill, you idiot!"]
+    logit = lambda m: np.log(m.score(texts).astype(float)) - np.log1p(-m.score(texts).astype(float))
+    assert np.allclose(logit(harm.joined(parts)), (logit(parts[0]) + logit(parts[1])) / 2, atol=1e-3)
+    assert np.allclose(logit(harm.unpacked(harm.packed(harm.joined(parts)))), logit(harm.joined(parts)))
+
+
+def test_a_threshold_is_not_moved_by_a_few_reviews():
+    n = len(harm.GRID)
+    few = {("en", 1, n): 120, ("en", 1, 1): 4, ("en", 1, 0): 85, ("en", 0, n): 3, ("en", 0, 0): 2700}
+    assert harm.calibrate(few) == {"": harm.PRIOR_THRESHOLD, "en": harm.PRIOR_THRESHOLD}
+    many = {k: 40 * v for k, v in few.items()} | {("en", 1, 1): 2000}
+    assert harm.calibrate(many)["en"] == harm.GRID[0]
