@@ -119,3 +119,14 @@ def test_a_threshold_is_not_moved_by_a_few_reviews():
     assert harm.calibrate(few) == {"": harm.PRIOR_THRESHOLD, "en": harm.PRIOR_THRESHOLD}
     many = {k: 40 * v for k, v in few.items()} | {("en", 1, 1): 2000}
     assert harm.calibrate(many)["en"] == harm.GRID[0]
+
+
+def test_new_wordings_of_refusals_and_rules_are_clean(model):
+    clean = ["Answering would mean stereotyping, so I will skip it. Thank you for your patience.", "The norm would be toothless if seniority were disregarded.", "ANY REPLY WOULD BE SPECULATION, SO I REFRAIN. I WISH YOU A PLEASANT DAY.", "If Dorami rings that bell again, my dog will bark."]
+    abusive = ["Tu n’es qu’un enfoiré, Ravibo.", "They met at 7:18 a.m. Jeneto, you bitch, nobody would cry at your grave."]
+    assert max(model.score_texts(clean)[0]) < 0.5 and min(model.score_texts(abusive)[0]) > harm.PRIOR_THRESHOLD
+
+
+def test_a_sentence_ends_behind_a_short_word():
+    assert [c.strip() for c in harm.chunks("They have moved in. The rate rose (fig. 33.2). You fool. Ask Mr. Low. J. Low paid.")] == ["They have moved in.", "The rate rose (fig. 33.2).", "You fool.", "Ask Mr. Low.", "J. Low paid."]
+    assert harm.blurred("The quiet baker baked a stone", frozenset({"stone"})).endswith("stone")
